@@ -207,7 +207,7 @@ coef AS (
                      f"THEN greatest({scaled}, 0.0::DOUBLE) ELSE {scaled} END)")
             v = f"CASE WHEN y_absmax = 0.0::DOUBLE THEN 0.0::DOUBLE ELSE {v} END"
             rows.append(f"SELECT {k}'{label}' AS method, metric, CAST({L + step} AS INTEGER) AS year, {v} AS value FROM coef")
-    return "proj AS (" + " UNION ALL ".join(rows) + ")"
+    return stats.strip() + ", proj AS (" + " UNION ALL ".join(rows) + ")"
 
 
 def projections_sql(key: str | None = None, confidence: str = "Moderate", methods=None, tag=False) -> str:
@@ -263,7 +263,7 @@ SELECT dimension, category, total_sales, title_count,
 
 def _quantile(p: float) -> str:
     # numpy linear interpolation between order statistics at p*(n-1)
-    pos = f"({p}::DOUBLE * CAST(n - 1 AS DOUBLE))"
+    pos = f"({p}::DOUBLE * CAST(nn.n - 1 AS DOUBLE))"
     lo = f"max(CASE WHEN rk = CAST(floor({pos}) AS BIGINT) THEN sales END)"
     hi = f"max(CASE WHEN rk = CAST(ceil({pos}) AS BIGINT) THEN sales END)"
     t = f"({pos} - floor({pos}))"
@@ -373,8 +373,9 @@ e AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
 SELECT e.bin, lo + (hi - lo) / 30.0::DOUBLE * e.bin AS bin_start,
        lo + (hi - lo) / 30.0::DOUBLE * (e.bin + 1) AS bin_end, COALESCE(c.n, 0) AS title_count
 FROM e CROSS JOIN st LEFT JOIN c ON c.bin = e.bin"""),
-    "quartile_comparison": with_base(f"""o AS (SELECT sales, row_number() OVER (ORDER BY sales) - 1 AS rk, count(*) OVER () AS n FROM latest),
-q AS (SELECT {_quantile(0.25)} AS q25, {_quantile(0.75)} AS q75 FROM o),
+    "quartile_comparison": with_base(f"""o AS (SELECT sales, row_number() OVER (ORDER BY sales) - 1 AS rk FROM latest),
+nn AS (SELECT count(*) AS n FROM latest),
+q AS (SELECT {_quantile(0.25)} AS q25, {_quantile(0.75)} AS q75 FROM o, nn GROUP BY nn.n),
 a AS (SELECT q25, q75,
         CAST(count_if(sales >= q75) AS BIGINT) AS nt, {msum('CASE WHEN sales >= q75 THEN sales END')} AS st,
         CAST(count_if(sales <= q25) AS BIGINT) AS nb, {msum('CASE WHEN sales <= q25 THEN sales END')} AS sb

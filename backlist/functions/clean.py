@@ -42,7 +42,7 @@ def _coerce_double(text: Column) -> Column:
     excluded first.  Text that overflows to infinity without spelling
     ``inf`` is likewise not a number for pandas.
     """
-    v = F.when(text.rlike(r"[0-9.][dDfF]\s*$") | text.rlike("[xX]"), F.lit(None).cast("double")) \
+    v = F.when(text.rlike(r"[xX]|[0-9.][dDfF]\s*$"), F.lit(None).cast("double")) \
          .otherwise(text.try_cast("double"))
     overflow = (F.abs(v) == F.lit(float("inf"))) & ~F.lower(text).contains("inf")
     return F.when(overflow, F.lit(None).cast("double")).otherwise(v)

@@ -46,7 +46,7 @@ def quartile_comparison(latest: DataFrame) -> DataFrame:
     """Two rows, ``Top 25%`` (sales >= q75) and ``Bottom 25%`` (sales <= q25),
     with title count and mean sales.  Thresholds are exact linearly
     interpolated quantiles; the tests are inclusive so the groups may overlap."""
-    q = exact_quantiles(latest, "sales", [0.25, 0.75], ["q25", "q75"])
+    q = exact_quantiles(latest, "sales", [0.25, 0.75], ["q25", "q75"], tiebreak="row_id")
     s = F.col("sales")
     top, bottom = s >= F.col("q75"), s <= F.col("q25")
     g = latest.select("sales").crossJoin(F.broadcast(q)).agg(   # q: one row

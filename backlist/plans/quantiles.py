@@ -24,17 +24,22 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, tiebreak: str | None = None) -> DataFrame:
     """One row with a DOUBLE column per probability (NULL on empty input).
 
     Positions follow pandas' default: ``p * (n - 1)`` interpolated linearly
-    between the neighbouring order statistics.
+    between the neighbouring order statistics.  ``tiebreak`` (a unique
+    column, e.g. a row id) is a secondary sort key so that a value shared by
+    a large share of rows (zero sales...) is spread over many range
+    partitions instead of landing in one task; without it the row's
+    position in its input partition is used.
     """
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    tb = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
+    v = df.select(F.col(value).cast("double").alias("v"), tb.alias("_tb")).where(F.col("v").isNotNull())
     n = v.agg(F.count(F.lit(1)).alias("n"))
 
-    ordered = v.orderBy("v").select(
+    ordered = v.orderBy("v", "_tb").select(
         "v", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     per_part = ordered.groupBy("_pid").agg(F.min("_mid").alias("_first"),
                                             F.count(F.lit(1)).alias("_cnt"))

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backlist.functions.fmt import money_text, tidy_name
+from backlist.functions.fmt import money_text
 from backlist.operators.series import METRICS
 from backlist.sources.catalog import Catalog, qty_col, sales_col
 
@@ -103,98 +103,103 @@ def title_positions(catalog: Catalog, center: int) -> DataFrame:
 # --------------------------------------------------------------------------
 # the fits: narrow row expressions over the positional frame
 # --------------------------------------------------------------------------
+# The formulas are generated as SQL expression text: one parse in the JVM per
+# column instead of thousands of client-side Column calls.  Operand order is
+# fixed (left-to-right sums over positions), so every engine evaluating the
+# same text gets the same bits.
+
+def _lit(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
+def _at(cols: Sequence[str], idx: str) -> str:
+    """cols[idx - 1] for a per-row position ``idx``."""
+    return "CASE " + " ".join(f"WHEN {idx} = {i + 1} THEN {c}" for i, c in enumerate(cols)) + " END"
+
+
+def _fit_columns(P: int, alpha: float) -> list[str]:
+    xs = [f"coalesce(x_{i}, 0.0D)" for i in range(1, P + 1)]
+    ys = [f"coalesce(nanvl(y_{i}, 0.0D), 0.0D)" for i in range(1, P + 1)]   # NaN counts as 0
+    a, b = _lit(alpha), f"(1.0D - {_lit(alpha)})"
+    S = [ys[0]]
+    for y in ys[1:]:
+        S.append(f"({a} * {y} + {b} * ({S[-1]}))")
+    s_n, s_n1, s_n2 = _at(S, "n"), _at(S, "n - 1"), _at(S, "n - 2")
+    absmax = f"greatest({', '.join(f'abs({y})' for y in ys)})" if P > 1 else f"abs({ys[0]})"
+    return [
+        f"{' + '.join(xs)} AS S1",
+        f"{' + '.join(f'{x} * {x}' for x in xs)} AS S2",
+        f"{' + '.join(f'{x} * {x} * {x}' for x in xs)} AS S3",
+        f"{' + '.join(f'{x} * {x} * {x} * {x}' for x in xs)} AS S4",
+        f"{' + '.join(ys)} AS T0",
+        f"{' + '.join(f'{x} * {y}' for x, y in zip(xs, ys))} AS T1",
+        f"{' + '.join(f'{x} * {x} * {y}' for x, y in zip(xs, ys))} AS T2",
+        f"{_at(ys, 'n')} AS y_last", f"{ys[0]} AS y_first", f"{absmax} AS y_absmax",
+        f"{s_n} AS s_n",
+        f"CASE WHEN n >= 3 THEN (({s_n}) - ({s_n2})) / 2.0D ELSE ({s_n}) - ({s_n1}) END AS trend",
+    ]
+
+
+# least squares: line by the 2x2 normal equations, parabola by Cramer's rule
+_COEF = [
+    "try_divide(CAST(n AS DOUBLE) * T1 - S1 * T0, CAST(n AS DOUBLE) * S2 - S1 * S1) AS b1",
+    "CAST(n AS DOUBLE) * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S2 * S3) + S2 * (S1 * S3 - S2 * S2) AS det",
+]
+_COEF2 = [
+    "(T0 - b1 * S1) / CAST(n AS DOUBLE) AS a1",
+    "try_divide(T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2), det) AS a2",
+    "try_divide(CAST(n AS DOUBLE) * (T1 * S4 - S3 * T2) - T0 * (S1 * S4 - S2 * S3) + S2 * (S1 * T2 - T1 * S2), det) AS b2",
+    "try_divide(CAST(n AS DOUBLE) * (S2 * T2 - S3 * T1) - S1 * (S1 * T2 - S2 * T1) + T0 * (S1 * S3 - S2 * S2), det) AS c2",
+]
+
+
+def _value(method: str, step: int, X: float, mult: float) -> str:
+    m, i = _lit(mult), _lit(step)
+    if method == "exponential_smoothing":
+        v = f"greatest(0.0D, s_n + (trend * {m}) * {i})"
+    else:
+        lin = f"(a1 + b1 * {_lit(X)})"
+        pred = (f"(CASE WHEN n >= 3 THEN a2 + b2 * {_lit(X)} + c2 * ({_lit(X)} * {_lit(X)}) ELSE {lin} END)"
+                if method == "polynomial" else lin)
+        # degenerate design (repeated years): end-to-end slope fallback
+        fb = f"greatest(0.0D, y_last + ((y_last - y_first) / CAST(n - 1 AS DOUBLE) * {m}) * {i})"
+        scaled = f"(CASE WHEN {pred} IS NULL THEN {fb} ELSE y_last + ({pred} - y_last) * {m} END)"
+        floored = ", ".join(f"'{x}'" for x in FLOORED)
+        v = f"(CASE WHEN metric IN ({floored}) THEN greatest({scaled}, 0.0D) ELSE {scaled} END)"
+    return f"CASE WHEN y_absmax = 0.0D THEN 0.0D ELSE {v} END"
+
 
 def project_positions(pos: DataFrame, keys: Sequence[str], points: int, *, last_year: int,
-                      center: int, horizon: int = MAX_HORIZON, confidence: str = "Moderate",
+                      center: int, horizon: int = MAX_HORIZON,
+                      confidence: str | Sequence[str] = "Moderate",
                       methods: Sequence[str] = METHODS, alpha: float = ALPHA) -> DataFrame:
+    """Forecast rows ``keys..., [confidence,] method, metric, year, value``.
+
+    ``confidence`` may be a list of levels: they are all computed from the
+    same fitted coefficients in one pass (and a ``confidence`` column added).
+    """
     if not 1 <= horizon <= MAX_HORIZON:
         raise ValueError(f"horizon must be 1..{MAX_HORIZON}")
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
         raise ValueError(f"unknown methods {unknown}")
-    mult = CONFIDENCE.get(confidence, 1.0)
-    P = points
-    n = F.col("n")
-    nd = n.cast("double")
-    xs = [F.coalesce(F.col(f"x_{i}"), _d(0)) for i in range(1, P + 1)]
-    # NaN counts as 0 (as nan_to_num)
-    ys = [F.coalesce(F.nanvl(F.col(f"y_{i}"), _d(0)), _d(0)) for i in range(1, P + 1)]
-
-    def at(cols: Sequence[Column], idx: Column) -> Column:
-        """cols[idx - 1] for a per-row position ``idx``."""
-        e = F.when(idx == 1, cols[0])
-        for i in range(2, P + 1):
-            e = e.when(idx == i, cols[i - 1])
-        return e
-
-    stats = pos.where(n >= 2).select(
-        *keys, "metric", n,
-        _sum(xs).alias("S1"), _sum([x * x for x in xs]).alias("S2"),
-        _sum([x * x * x for x in xs]).alias("S3"), _sum([x * x * x * x for x in xs]).alias("S4"),
-        _sum(ys).alias("T0"), _sum([x * y for x, y in zip(xs, ys)]).alias("T1"),
-        _sum([x * x * y for x, y in zip(xs, ys)]).alias("T2"),
-        at(ys, n).alias("y_last"), ys[0].alias("y_first"),
-        F.greatest(*[F.abs(y) for y in ys]).alias("y_absmax") if P > 1 else F.abs(ys[0]).alias("y_absmax"),
-        *_smoothing(ys, n, alpha, at))
-    c = {k: F.col(k) for k in ("S1", "S2", "S3", "S4", "T0", "T1", "T2")}
-    S0 = nd
-    S1, S2, S3, S4, T0, T1, T2 = (c[k] for k in ("S1", "S2", "S3", "S4", "T0", "T1", "T2"))
-    # linear
-    b_lin = F.try_divide(nd * T1 - S1 * T0, nd * S2 - S1 * S1)
-    a_lin = (T0 - b_lin * S1) / nd
-    # quadratic by Cramer's rule on the 3x3 normal equations
-    det = S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S2 * S3) + S2 * (S1 * S3 - S2 * S2)
-    da = T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2)
-    db = S0 * (T1 * S4 - S3 * T2) - T0 * (S1 * S4 - S2 * S3) + S2 * (S1 * T2 - T1 * S2)
-    dc = S0 * (S2 * T2 - S3 * T1) - S1 * (S1 * T2 - S2 * T1) + T0 * (S1 * S3 - S2 * S2)
-    coef = stats.select(
-        *keys, "metric", "n", "y_last", "y_first", "y_absmax", "s_n", "trend",
-        a_lin.alias("a1"), b_lin.alias("b1"),
-        F.try_divide(da, det).alias("a2"), F.try_divide(db, det).alias("b2"),
-        F.try_divide(dc, det).alias("c2"))
-
-    m = _d(mult)
-    y_last = F.col("y_last")
-    fallback_slope = (y_last - F.col("y_first")) / (F.col("n") - F.lit(1)).cast("double")
-    floored = F.col("metric").isin(list(FLOORED))
-    zero = F.col("y_absmax") == _d(0)
+    levels = [confidence] if isinstance(confidence, str) else list(confidence)
+    k = [f"`{c}`" for c in keys]
+    stats = pos.where(F.col("n") >= 2).selectExpr(*k, "metric", "n", *_fit_columns(points, alpha))
+    coef = stats.selectExpr("*", *_COEF).selectExpr("*", *_COEF2)
     entries = []
-    for method in methods:
-        for step in range(1, horizon + 1):
-            X = _d(last_year + step - center)
-            if method == "exponential_smoothing":
-                v = F.greatest(_d(0), F.col("s_n") + (F.col("trend") * m) * _d(step))
-            else:
-                lin = F.col("a1") + F.col("b1") * X
-                if method == "polynomial":
-                    quad = F.col("a2") + F.col("b2") * X + F.col("c2") * (X * X)
-                    pred = F.when(F.col("n") >= 3, quad).otherwise(lin)
-                else:
-                    pred = lin
-                scaled = y_last + (pred - y_last) * m
-                # degenerate design (repeated years): end-to-end slope fallback
-                fb = F.greatest(_d(0), y_last + (fallback_slope * m) * _d(step))
-                scaled = F.when(pred.isNull(), fb).otherwise(scaled)
-                v = F.when(floored, F.greatest(scaled, _d(0))).otherwise(scaled)
-            v = F.when(zero, _d(0)).otherwise(v)
-            entries.append(F.struct(F.lit(method).alias("method"),
-                                    F.lit(last_year + step).cast("int").alias("year"),
-                                    v.alias("value")))
-    return coef.select(*keys, "metric", F.inline(F.array(*entries))).select(
-        *keys, tidy_name(F.col("method")).alias("method"), "metric", "year", "value")
-
-
-def _smoothing(ys: Sequence[Column], n: Column, alpha: float, at) -> list[Column]:
-    """``s_n`` and ``trend`` by unrolling the recurrence over the positions."""
-    a, b = _d(alpha), _d(1.0) - _d(alpha)
-    S = [ys[0]]
-    for y in ys[1:]:
-        S.append(a * y + b * S[-1])
-    s_n = at(S, n)
-    s_n1 = at(S, n - F.lit(1))
-    s_n2 = at(S, n - F.lit(2))
-    trend = F.when(n >= 3, (s_n - s_n2) / _d(2)).otherwise(s_n - s_n1)
-    return [s_n.alias("s_n"), trend.alias("trend")]
+    for level in levels:
+        mult = CONFIDENCE.get(level, 1.0)
+        for method in methods:
+            label = method.replace("_", " ").title()
+            for step in range(1, horizon + 1):
+                v = _value(method, step, last_year + step - center, mult)
+                entries.append(f"named_struct('confidence', '{level}', 'method', '{label}', "
+                               f"'year', CAST({last_year + step} AS INT), 'value', {v})")
+    out = coef.selectExpr(*k, "metric", f"inline(array({', '.join(entries)}))")
+    cols = ([F.col("confidence")] if not isinstance(confidence, str) else []) + \
+        [F.col("method"), F.col("metric"), F.col("year"), F.col("value")]
+    return out.select(*keys, *cols)
 
 
 # --------------------------------------------------------------------------
@@ -224,14 +229,15 @@ def project_titles(catalog: Catalog, *, last_year: int, horizon: int = MAX_HORIZ
                              center=last_year, horizon=horizon, confidence=confidence, methods=methods)
 
 
-def project_confidence_levels(series: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
-    """All three confidence levels, tagged (union of three narrow branches
-    over one shared positional frame)."""
-    out = None
-    for level in CONFIDENCE:
-        p = project(series, keys, confidence=level, **kw).select(F.lit(level).alias("confidence"), "*")
-        out = p if out is None else out.unionByName(p)
-    return out
+def project_confidence_levels(series: DataFrame, keys: Sequence[str] = (), *, years: Sequence[int],
+                              last_year: int, horizon: int = MAX_HORIZON,
+                              methods: Sequence[str] = METHODS, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """All three confidence levels, tagged, from one fit per series."""
+    P = len(years)
+    pos = series_positions(series, keys, P, last_year, metrics)
+    out = project_positions(pos, keys, P, last_year=last_year, center=last_year, horizon=horizon,
+                            confidence=list(CONFIDENCE), methods=methods)
+    return out.select("confidence", *keys, "method", "metric", "year", "value")
 
 
 def projection_summary(projections: DataFrame, last_year: int, horizon: int,

@@ -42,11 +42,18 @@ def sales_histogram(latest: DataFrame, bins: int = 30) -> DataFrame:
                     F.coalesce(F.col("title_count"), F.lit(0)).alias("title_count")))
 
 
-def quartile_comparison(latest: DataFrame) -> DataFrame:
+def quartile_comparison(latest: DataFrame, approx: bool = False, accuracy: int = 100_000) -> DataFrame:
     """Two rows, ``Top 25%`` (sales >= q75) and ``Bottom 25%`` (sales <= q25),
     with title count and mean sales.  Thresholds are exact linearly
-    interpolated quantiles; the tests are inclusive so the groups may overlap."""
-    q = exact_quantiles(latest, "sales", [0.25, 0.75], ["q25", "q75"], tiebreak="row_id")
+    interpolated quantiles (a distributed sort); ``approx=True`` uses
+    ``percentile_approx`` instead (one pass, bounded sketch, approximate).
+    The tests are inclusive so the groups may overlap."""
+    if approx:
+        pa = F.percentile_approx("sales", [0.25, 0.75], accuracy)
+        q = latest.agg(pa.alias("_q")).select(F.col("_q")[0].cast("double").alias("q25"),
+                                             F.col("_q")[1].cast("double").alias("q75"))
+    else:
+        q = exact_quantiles(latest, "sales", [0.25, 0.75], ["q25", "q75"], tiebreak="row_id")
     s = F.col("sales")
     top, bottom = s >= F.col("q75"), s <= F.col("q25")
     g = latest.select("sales").crossJoin(F.broadcast(q)).agg(   # q: one row

@@ -30,13 +30,22 @@ SALES_HEADER = '" Net Sales $ \n{y} "'
 QTY_HEADER = '" Net Sales Q\n{y} "'
 
 
+def _memo(spark: SparkSession, key: tuple, build):
+    """One lazy catalog plan per session and input (plans are immutable; this
+    saves re-building the client-side plan, no data is cached)."""
+    memo = spark.__dict__.setdefault("_backlist_plans", {})
+    if key not in memo:
+        memo[key] = build()
+    return memo[key]
+
+
 def catalog(spark: SparkSession, d: str) -> Catalog:
-    return tpch_catalog(spark, d)
+    return _memo(spark, ("catalog", d), lambda: tpch_catalog(spark, d))
 
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
     """Per-title latest-year rows; only the latest year's line items are read."""
-    return tpch_catalog(spark, d, years=[LAST_YEAR]).latest()
+    return _memo(spark, ("latest", d), lambda: tpch_catalog(spark, d, years=[LAST_YEAR]).latest())
 
 
 def yearly(spark: SparkSession, d: str, keys=()) -> DataFrame:

@@ -155,3 +155,12 @@ def detect_roles(columns: Sequence[str], years: Sequence[int] = DEFAULT_YEARS,
             warnings.append(f"year {y}: yearly series uses {first!r}, latest-year views use {col!r}")
             roles = ColumnRoles(names, s, q, tuple(years), tuple(warnings))
     return roles
+
+
+def describe_roles(spark, roles: ColumnRoles):
+    """Column inventory as a one-row DataFrame (metadata only)."""
+    return spark.createDataFrame(
+        [(len(roles.sales), len(roles.quantity), len(roles.names), roles.series_years,
+          (roles.latest_sales() or (None, None))[1], list(roles.warnings))],
+        "sales_columns int, quantity_columns int, total_columns int, series_years array<int>, "
+        "latest_sales_column string, warnings array<string>")

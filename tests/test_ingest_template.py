@@ -109,3 +109,9 @@ def test_top_titles_preview_histogram(template):
     h = tit.sales_histogram(latest).collect()
     assert len(h) == 30 and sum(r.title_count for r in h) == 3
     assert h[0].bin_start == 1200.0 and h[29].bin_end == 3000.0 and h[29].title_count == 1
+
+
+def test_quartiles_approx_option(template):
+    _, cur = template
+    q = {r.quartile: r for r in tit.quartile_comparison(cur.latest(), approx=True).collect()}
+    assert q["Top 25%"].title_count >= 1 and q["Bottom 25%"].title_count >= 1

@@ -28,3 +28,11 @@ def test_loose_and_explicit_roles():
     e = detect_roles(cols, sales=["Revenue 2020", "Missing"], quantity=["Units 2020"])
     assert e.sales == ("Revenue 2020",) and e.quantity == ("Units 2020",)
     assert any("Missing" in w for w in e.warnings)
+
+
+def test_describe_roles(spark):
+    from backlist.sources.roles import describe_roles
+    r = detect_roles(["WorkRef", "Net Sales $ 2023", "Net Sales $ 2024", "Net Sales Q 2024"])
+    row = describe_roles(spark, r).first()
+    assert (row.sales_columns, row.quantity_columns, row.total_columns) == (2, 1, 4)
+    assert row.series_years == [2023, 2024] and row.latest_sales_column == "Net Sales $ 2024"

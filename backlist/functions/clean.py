@@ -20,8 +20,22 @@ NA_WORDS = (
     "nan", "null",
 )
 
-# Date layouts tried in order; the first that parses wins.
+# Date layouts tried in order; the first that parses wins.  Each is tried
+# only on text of its shape (a failed parse costs an exception per cell).
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy")
+DATE_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+}
+
+# What pandas' numeric parser accepts: optional sign, digits with optional
+# fraction (or a bare fraction), optional exponent, or inf / infinity / nan;
+# surrounding whitespace allowed.  Java-only forms (1.5d, 2f, hex, 1_000)
+# never reach the cast.
+NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 
 
 def _col(c: Column | str) -> Column:
@@ -38,12 +52,12 @@ def _coerce_double(text: Column) -> Column:
     """pandas-style ``to_numeric(errors='coerce')`` on text; NULL when not a number.
 
     Spark's string->double cast follows Java and also accepts type suffixes
-    (``1.5d``, ``2f``) and hex floats; pandas rejects those, so they are
-    excluded first.  Text that overflows to infinity without spelling
-    ``inf`` is likewise not a number for pandas.
+    (``1.5d``, ``2f``) and hex floats; pandas rejects those, so only text of
+    pandas' numeric shape is cast (which also spares the cast's exception on
+    junk).  Text that overflows to infinity without spelling ``inf`` is
+    likewise not a number for pandas.
     """
-    v = F.when(text.rlike(r"[xX]|[0-9.][dDfF]\s*$"), F.lit(None).cast("double")) \
-         .otherwise(text.try_cast("double"))
+    v = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))
     overflow = (F.abs(v) == F.lit(float("inf"))) & ~F.lower(text).contains("inf")
     return F.when(overflow, F.lit(None).cast("double")).otherwise(v)
 
@@ -73,4 +87,9 @@ def parse_number(c: Column | str) -> Column:
 def parse_date(c: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Date text -> DATE; unparseable text -> NULL (never raises under ANSI)."""
     c = F.trim(_col(c))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    tries = []
+    for f in formats:
+        attempt = F.to_date(F.try_to_timestamp(c, F.lit(f)))
+        shape = DATE_SHAPES.get(f)
+        tries.append(F.when(c.rlike(shape), attempt) if shape else attempt)
+    return F.coalesce(*tries)

@@ -26,6 +26,11 @@ def with_file_ordinal(scan: DataFrame, name: str = "row_id", fmt: str = "csv") -
         pos = F.col("_metadata.row_index")
     else:
         pos = F.monotonically_increasing_id()
+    if len(scan.inputFiles()) == 1:
+        # one file: its row index is the ordinal (an unsplit CSV file is
+        # read by the only task, partition 0, whose ids start at 0)
+        single = pos if fmt == "parquet" else F.monotonically_increasing_id()
+        return scan.select(*[F.col(c) for c in cols], single.cast("bigint").alias(name))
     tagged = scan.select(*[F.col(c) for c in cols],
                          F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
     per_file = tagged.groupBy("_file").agg(F.min("_pos").alias("_first"),

@@ -47,15 +47,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     tests) do we set one ourselves.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
+    try:
+        jsc = spark.sparkContext._jsc.sc()
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        jsc = None
+    if not root and jsc is not None and jsc.getCheckpointDir().isDefined():
+        root = jsc.getCheckpointDir().get()
     if not root:
         root = os.environ.get("BACKLIST_LOCAL_CHECKPOINT_DIR", "/tmp/backlist-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
+    if jsc is not None and not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -24,7 +24,6 @@ two points give no rows; an all-zero series forecasts zeros.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,10 +45,6 @@ def _d(v: float) -> Column:
     return F.lit(float(v))
 
 
-def _sum(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
 # --------------------------------------------------------------------------
 # front ends: build the positional frame (keys..., metric, n, x_i, y_i)
 # --------------------------------------------------------------------------

@@ -92,3 +92,18 @@ def test_ties_and_equal_sales(spark, tmp_path):
     assert h[0].title_count == 25 and sum(r.title_count for r in h) == 25
     q = {r.quartile: r.title_count for r in tit.quartile_comparison(latest).collect()}
     assert q == {"Top 25%": 25, "Bottom 25%": 25}
+
+
+def test_zero_base_year_growth(spark, tmp_path):
+    header = ["WorkRef", "PubDate", "FiscalYearOfPublication", "Net Sales $ 2022", "Net Sales $ 2023",
+              "Net Sales $ 2024"]
+    rows = [["w1", "2020-01-01", "2020", "0", "100", "150"], ["w2", "2020-01-01", "2020", "0", "0", "50"]]
+    cur = csvc.curate(csvc.read_catalog(spark, write_rows(str(tmp_path / "z.csv"), header, rows)))
+    yearly = ser.yearly_summary(cur)
+    g = {r.year: r for r in ser.yoy_growth(yearly).collect()}
+    assert g[2023].sales_growth is None and g[2023].titles_growth is None     # zero base -> NULL
+    assert g[2024].sales_growth == 100.0 and g[2024].titles_growth == 100.0
+    gi = ser.growth_insights(yearly).first()
+    assert gi.total_growth_pct is None and gi.avg_growth_pct == 100.0
+    y = {r.year: r for r in yearly.collect()}
+    assert y[2022].revenue_per_title == 0.0 and y[2022].active_titles == 0

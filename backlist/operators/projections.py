@@ -180,7 +180,12 @@ def project_positions(pos: DataFrame, keys: Sequence[str], points: int, *, last_
         raise ValueError(f"unknown methods {unknown}")
     levels = [confidence] if isinstance(confidence, str) else list(confidence)
     k = [f"`{c}`" for c in keys]
-    stats = pos.where(F.col("n") >= 2).selectExpr(*k, "metric", "n", *_fit_columns(points, alpha))
+    # a series longer than the declared bound would lose points: fail loudly
+    checked = pos.where(F.col("n") >= 2).selectExpr(
+        *k, "metric", f"CASE WHEN n > {points} THEN raise_error('series has more than {points} points') "
+                      f"ELSE n END AS n", *[f"x_{i}" for i in range(1, points + 1)],
+        *[f"y_{i}" for i in range(1, points + 1)])
+    stats = checked.selectExpr(*k, "metric", "n", *_fit_columns(points, alpha))
     coef = stats.selectExpr("*", *_COEF).selectExpr("*", *_COEF2)
     entries = []
     for level in levels:

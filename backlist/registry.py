@@ -135,10 +135,9 @@ def rendered_export(spark, d) -> DataFrame:
 
 
 def q_validate_numeric(spark, d):
-    export = rendered_export(spark, d).drop("row_id")
-    names = tuple(export.columns)
-    df = export.select(F.lit(0).cast("bigint").alias("row_id"),
-                       *[null_words(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)])
+    export = rendered_export(spark, d)
+    names = tuple(c for c in export.columns if c != "row_id")
+    df = export.select("row_id", *[null_words(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)])
     roles = ColumnRoles(names, tuple(SALES_HEADER.format(y=y) for y in YEARS),
                         tuple(QTY_HEADER.format(y=y) for y in YEARS), YEARS)
     _, report = csvc.validate(csvc.RawCatalog(df, roles, "rendered"))

@@ -160,7 +160,7 @@ def curate(raw: RawCatalog, strict: bool = True) -> Catalog:
     cols.append(pub.alias("pub_date"))
     fy = parse_number(raw.col("FiscalYearOfPublication")) if r.has("FiscalYearOfPublication") \
         else F.lit(None).cast("double")
-    cols.append(F.when(fy == F.floor(fy), fy.cast("int")).alias("fiscal_year"))
+    cols.append(F.when(fy == F.floor(fy), fy.try_cast("int")).alias("fiscal_year"))
     sales_map, qty_map = r.sales_by_year, r.quantity_by_year
     years = tuple(sorted(sales_map))
     for y in years:

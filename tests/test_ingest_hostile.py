@@ -19,7 +19,7 @@ def hostile(spark, tmp_path_factory):
         ["w1", "A", "Mono", "m", "x", "New", "Yes", "2020", "2020-01-15", "$1,234.50", "(500)", "10", "1,200", None],
         ["w2", "B", "NA", "m", "x", "NA", "Yes", "bad", "bad", "abc", "$ (1,000) ", "20", "7", None],
         [None, "C", " NA", "m", "x", "-", "Yes", "2021.0", "", "nan", "1e3", "30", "nan", None],
-        ["w4", "D", "Mono", "m", "x", None, "Yes", None, "2019/11/08", None, "1.5d", "40", "", None],
+        ["w4", "D", "Mono", "m", "x", None, "Yes", "1e12", "2019/11/08", None, "1.5d", "40", "", None],
     ]
     path = write_rows(str(tmp_path_factory.mktemp("hostile") / "h.csv"), header, rows)
     raw = csvc.read_catalog(spark, path)

@@ -96,3 +96,9 @@ def test_horizon_validation(spark):
     df = series_df(spark, {"a": {2023: 1.0, 2024: 2.0}})
     with pytest.raises(ValueError):
         prj.project(df, ["k"], years=[2023, 2024], last_year=2024, horizon=6)
+
+
+def test_series_longer_than_bound_fails(spark):
+    df = series_df(spark, {"a": {2022: 1.0, 2023: 2.0, 2024: 3.0}})
+    with pytest.raises(Exception):
+        prj.project(df, ["k"], years=[2023, 2024], last_year=2024).collect()

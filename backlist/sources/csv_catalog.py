@@ -136,8 +136,23 @@ def synthetic_key(work_ref: Column | None, ordinal: Column) -> Column:
     return F.concat_ws("_", F.coalesce(work_ref, F.lit("nan")), ordinal.cast("string"))
 
 
-def curate(raw: RawCatalog, strict: bool = True) -> Catalog:
-    """Typed wide titles table from the text catalog (lazy)."""
+def snake(name: str) -> str:
+    out = "".join(ch.lower() if ch.isalnum() else "_" for ch in name.strip())
+    while "__" in out:
+        out = out.replace("__", "_")
+    return out.strip("_")
+
+
+def curate(raw: RawCatalog, strict: bool = True, dates: Sequence[str] = (),
+           numeric_dims: Sequence[str] = ()) -> Catalog:
+    """Typed wide titles table from the text catalog (lazy).
+
+    ``dates``: further columns to parse as dates (an explicit role map's date
+    columns), added as ``<snake_name>_date``.  ``numeric_dims``: category
+    columns (export names) whose numeric-looking values are keyed by number,
+    so ``1`` and ``1.0`` form one group (the export's spreadsheet typing);
+    other values stay text.
+    """
     r = raw.roles
     if strict:
         problems = [c for c in REQUIRED if not r.has(c)]
@@ -150,14 +165,21 @@ def curate(raw: RawCatalog, strict: bool = True) -> Catalog:
     cols = [F.col("row_id"), key.alias("title_key")]
     cols.append((raw.col("WorkRef") if r.has("WorkRef") else F.lit(None).cast("string")).alias("work_ref"))
     dims = []
-    for label, snake in DIMENSIONS:
+    for label, name in DIMENSIONS:
         if r.has(label):
-            cols.append(raw.col(label).alias(snake))
-            dims.append(snake)
+            c = raw.col(label)
+            if label in numeric_dims:
+                num = parse_number(c)
+                c = F.when(num.isNotNull(), num.cast("string")).otherwise(c)
+            cols.append(c.alias(name))
+            dims.append(name)
     if r.has("Imprint"):
         cols.append(raw.col("Imprint").alias("imprint"))
     pub = parse_date(raw.col("PubDate")) if r.has("PubDate") else F.lit(None).cast("date")
     cols.append(pub.alias("pub_date"))
+    for d in dates:
+        if r.has(d) and d != "PubDate":
+            cols.append(parse_date(raw.col(d)).alias(f"{snake(d)}_date"))
     fy = parse_number(raw.col("FiscalYearOfPublication")) if r.has("FiscalYearOfPublication") \
         else F.lit(None).cast("double")
     cols.append(F.when(fy == F.floor(fy), fy.try_cast("int")).alias("fiscal_year"))

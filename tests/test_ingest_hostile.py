@@ -107,3 +107,17 @@ def test_zero_base_year_growth(spark, tmp_path):
     assert gi.total_growth_pct is None and gi.avg_growth_pct == 100.0
     y = {r.year: r for r in yearly.collect()}
     assert y[2022].revenue_per_title == 0.0 and y[2022].active_titles == 0
+
+
+def test_extra_dates_and_numeric_dims(spark, tmp_path):
+    header = ["WorkRef", "PubDate", "FiscalYearOfPublication", "Net Sales $ 2024", "CatalogPosition", "Ship Date"]
+    rows = [["w1", "2020-01-01", "2020", "5", "1", "2021-05-06"], ["w2", "2020-01-01", "2020", "7", "1.0", "bad"],
+            ["w3", "2020-01-01", "2020", "9", "front", ""]]
+    raw = csvc.read_catalog(spark, write_rows(str(tmp_path / "n.csv"), header, rows))
+    cur = csvc.curate(raw, dates=["Ship Date"], numeric_dims=["CatalogPosition"])
+    r = cur.titles.orderBy("row_id").collect()
+    assert [str(x.ship_date_date) for x in r] == ["2021-05-06", "None", "None"]
+    groups = {x.catalog_position: x.title_count for x in cat.catalog_position(cur.latest()).collect()}
+    assert groups == {"1.0": 2, "front": 1}
+    plain = {x.catalog_position for x in csvc.curate(raw).titles.collect()}
+    assert plain == {"1", "1.0", "front"}

@@ -32,10 +32,11 @@ DATE_SHAPES = {
 }
 
 # What pandas' numeric parser accepts: optional sign, digits with optional
-# fraction (or a bare fraction), optional exponent, or inf / infinity / nan;
-# surrounding whitespace allowed.  Java-only forms (1.5d, 2f, hex, 1_000)
-# never reach the cast.
-NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+# fraction (or a bare fraction) and optional exponent, surrounded by optional
+# whitespace; or inf / infinity in any case with an optional sign and no
+# surrounding whitespace.  (nan needs no match: it ends up missing / 0
+# either way.)  Java-only forms (1.5d, 2f, hex, 1_000) never reach the cast.
+NUMERIC_TEXT = r"^(\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*|[+-]?(?i:inf|infinity))$"
 
 
 def _col(c: Column | str) -> Column:

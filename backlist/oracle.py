@@ -296,7 +296,7 @@ SELECT year, CASE WHEN n_bad > 0 THEN 'warn' ELSE 'ok' END AS severity, n_bad, n
     ELSE CASE CAST(l_quantity AS INTEGER) % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 10.0::DOUBLE ELSE 100.0::DOUBLE END
   END AS quantity FROM lineitem""",
     "parse_dates": """SELECT l_orderkey, l_linenumber,
-  CASE WHEN (l_orderkey + l_linenumber) % 5 IN (0, 1, 2) THEN CAST(l_shipdate AS DATE) END AS ship_date
+  CASE WHEN (l_orderkey + l_linenumber) % 5 IN (0, 1, 2) THEN strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') END AS ship_date
   FROM lineitem""",
     "title_key": """SELECT p_partkey, concat(CASE WHEN p_partkey % 13 = 0 THEN 'nan' ELSE concat('w', p_partkey) END,
   '_', row_number() OVER (ORDER BY p_partkey) - 1) AS title_key FROM part""",

@@ -115,3 +115,9 @@ def test_quartiles_approx_option(template):
     _, cur = template
     q = {r.quartile: r for r in tit.quartile_comparison(cur.latest(), approx=True).collect()}
     assert q["Top 25%"].title_count >= 1 and q["Bottom 25%"].title_count >= 1
+
+
+def test_growth_rows_without_first_period(template):
+    _, cur = template
+    rows = ser.yoy_growth(ser.yearly_summary(cur), drop_first=True).orderBy("year").collect()
+    assert [r.year for r in rows] == [2023, 2024] and approx(rows[0].sales_growth, 15.625)

@@ -37,7 +37,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     tb = F.col(tiebreak) if tiebreak else F.monotonically_increasing_id()
     v = df.select(F.col(value).cast("double").alias("v"), tb.alias("_tb")).where(F.col("v").isNotNull())
-    n = v.agg(F.count(F.lit(1)).alias("n"))
 
     ordered = v.orderBy("v", "_tb").select(
         "v", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
@@ -47,6 +46,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     offsets = per_part.select("_pid", "_first",
                               F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     n_parts = max_shuffle_partitions(df.sparkSession)  # one offsets row per sort partition
+    # the row count comes from the per-partition counts, not another pass
+    n = per_part.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).cast("bigint").alias("n"))
 
     pos = [F.lit(float(p)) * (F.col("n") - F.lit(1)).cast("double") for p in probs]
     wanted = n.select(F.explode(F.array_distinct(F.array(

@@ -101,10 +101,9 @@ def portfolio_kpis(catalog: Catalog, yearly: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_rn") == 2, F.col("total_sales"))).alias("_prev"),
         F.max(F.when(F.col("_rn") == 1, F.col("active_titles"))).alias("active_titles"),
         F.max(F.when(F.col("_rn") == 1, F.col("revenue_per_title"))).alias("revenue_per_title"))
-    n = catalog.titles.agg(F.count(F.lit(1)).alias("total_titles"))
-    # both sides are global aggregates: exactly one row each
-    return n.crossJoin(F.broadcast(kpi)).select(
-        "total_titles", "latest_year", "latest_sales",
+    total_titles = catalog.titles.agg(F.count(F.lit(1))).scalar()   # scalar subquery
+    return kpi.select(
+        total_titles.alias("total_titles"), "latest_year", "latest_sales",
         (F.try_divide(F.col("latest_sales") - F.col("_prev"), F.col("_prev")) * F.lit(100.0))
         .alias("sales_growth_pct"),
         "active_titles", "revenue_per_title")

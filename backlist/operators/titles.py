@@ -27,18 +27,17 @@ def sales_histogram(latest: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max], the last bin closed; every bin is
     returned (0-filled).  With min = max all titles fall in bin 0."""
     spark = latest.sparkSession
-    stats = latest.agg(F.min("sales").alias("lo"), F.max("sales").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    raw = F.floor((F.col("sales") - F.col("lo")) * F.lit(float(bins)) / width)
+    # two scalar subqueries over the same input: Spark merges them into one pass
+    lo, hi = latest.agg(F.min("sales")).scalar(), latest.agg(F.max("sales")).scalar()
+    width = hi - lo
+    raw = F.floor((F.col("sales") - lo) * F.lit(float(bins)) / width)
     b = F.when(width > 0, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    # stats is one row (global aggregate)
-    counts = (latest.select("sales").crossJoin(F.broadcast(stats))
-              .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("title_count")))
-    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(stats))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    counts = latest.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("title_count"))
+    step = (hi - lo) / F.lit(float(bins))
+    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (edges.join(F.broadcast(counts), "bin", "left")   # counts: at most `bins` rows
-            .select("bin", (F.col("lo") + step * F.col("bin")).alias("bin_start"),
-                    (F.col("lo") + step * (F.col("bin") + F.lit(1))).alias("bin_end"),
+            .select("bin", (lo + step * F.col("bin")).alias("bin_start"),
+                    (lo + step * (F.col("bin") + F.lit(1))).alias("bin_end"),
                     F.coalesce(F.col("title_count"), F.lit(0)).alias("title_count")))
 
 
@@ -54,12 +53,16 @@ def quartile_comparison(latest: DataFrame, approx: bool = False, accuracy: int =
                                              F.col("_q")[1].cast("double").alias("q75"))
     else:
         q = exact_quantiles(latest, "sales", [0.25, 0.75], ["q25", "q75"], tiebreak="row_id")
+    # both thresholds in one scalar subquery (one row by construction)
+    thresholds = q.select(F.struct("q25", "q75")).scalar()
+    q25, q75 = thresholds.getField("q25"), thresholds.getField("q75")
     s = F.col("sales")
-    top, bottom = s >= F.col("q75"), s <= F.col("q25")
-    g = latest.select("sales").crossJoin(F.broadcast(q)).agg(   # q: one row
-        F.first("q25").alias("q25"), F.first("q75").alias("q75"),
+    flagged = latest.select("sales", (s >= q75).alias("_top"), (s <= q25).alias("_bottom"))
+    top, bottom = F.col("_top"), F.col("_bottom")
+    g = flagged.agg(
         F.count_if(top).alias("nt"), money_sum(F.when(top, s)).alias("st"),
         F.count_if(bottom).alias("nb"), money_sum(F.when(bottom, s)).alias("sb"))
+    g = g.select(q25.alias("q25"), q75.alias("q75"), "nt", "st", "nb", "sb")
     rows = F.array(
         F.struct(F.lit("Top 25%").alias("quartile"), F.col("q75").alias("threshold"),
                  F.col("nt").alias("title_count"), (F.col("st") / F.col("nt")).alias("avg_sales")),

@@ -43,24 +43,26 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     per_part = ordered.groupBy("_pid").agg(F.min("_mid").alias("_first"),
                                             F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per sort partition: its offset, and the total row count riding along
     offsets = per_part.select("_pid", "_first",
-                              F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    n_parts = max_shuffle_partitions(df.sparkSession)  # one offsets row per sort partition
-    # the row count comes from the per-partition counts, not another pass
-    n = per_part.agg(F.coalesce(F.sum("_cnt"), F.lit(0)).cast("bigint").alias("n"))
+                              F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                              F.sum("_cnt").over(Window.partitionBy()).alias("_n"))
+    n_parts = max_shuffle_partitions(df.sparkSession)
+
+    def position(p: float, n):
+        return F.lit(float(p)) * (n - F.lit(1)).cast("double")
 
-    pos = [F.lit(float(p)) * (F.col("n") - F.lit(1)).cast("double") for p in probs]
-    wanted = n.select(F.explode(F.array_distinct(F.array(
-        *[F.floor(x).cast("bigint") for x in pos], *[F.ceil(x).cast("bigint") for x in pos]
-    ))).alias("_rank"))
     ranked = (ordered.join(bounded_broadcast(offsets, n_parts), "_pid")
-              .select("v", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("_rank")))
-    picked = ranked.join(bounded_broadcast(wanted, 2 * len(probs)), "_rank")
+              .select("v", "_n", (F.col("_off") + F.col("_mid") - F.col("_first")).alias("_rank")))
+    wanted = [F.floor(position(p, F.col("_n"))).cast("bigint") for p in probs] + \
+        [F.ceil(position(p, F.col("_n"))).cast("bigint") for p in probs]
+    picked = ranked.where(F.col("_rank").isin(*wanted))
     # at most 2*len(probs) rows: gather them into one row by rank
-    by_rank = picked.agg(F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("m"))
-    out = n.crossJoin(F.broadcast(by_rank))
+    out = picked.agg(F.max("_n").alias("n"),
+                     F.map_from_entries(F.collect_list(F.struct("_rank", "v"))).alias("m"))
     cols = []
-    for x, name in zip(pos, names):
+    for p, name in zip(probs, names):
+        x = position(p, F.col("n"))
         lo = F.try_element_at("m", F.floor(x).cast("bigint"))
         hi = F.try_element_at("m", F.ceil(x).cast("bigint"))
         t = x - F.floor(x)

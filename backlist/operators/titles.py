@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from backlist.functions.agg import money_sum
 from backlist.functions.fmt import money_text
+from backlist.plans.guards import bounded_broadcast
 from backlist.plans.quantiles import exact_quantiles
 
 
@@ -35,7 +36,7 @@ def sales_histogram(latest: DataFrame, bins: int = 30) -> DataFrame:
     counts = latest.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("title_count"))
     step = (hi - lo) / F.lit(float(bins))
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (edges.join(F.broadcast(counts), "bin", "left")   # counts: at most `bins` rows
+    return (edges.join(bounded_broadcast(counts, bins), "bin", "left")   # one row per bin at most
             .select("bin", (lo + step * F.col("bin")).alias("bin_start"),
                     (lo + step * (F.col("bin") + F.lit(1))).alias("bin_end"),
                     F.coalesce(F.col("title_count"), F.lit(0)).alias("title_count")))

@@ -43,6 +43,7 @@ class RawCatalog:
     df: DataFrame
     roles: ColumnRoles
     source: str
+    scan: DataFrame | None = None      # the bare file scan (cheap emptiness test)
 
     def col(self, name: str) -> Column:
         return F.col(f"_c{self.roles.position(name)}")
@@ -66,7 +67,7 @@ def read_catalog(spark: SparkSession, path: str | Sequence[str], years: Sequence
     df = with_file_ordinal(scan, "row_id", fmt="csv")
     df = df.select("row_id", *[null_words(F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(names))])
     roles = detect_roles(names, years, mode=mode, sales=sales, quantity=quantity)
-    return RawCatalog(df, roles, str(path))
+    return RawCatalog(df, roles, str(path), scan)
 
 
 def read_first(spark: SparkSession, paths: Sequence[str], **kw) -> RawCatalog:
@@ -97,7 +98,9 @@ def validate(raw: RawCatalog) -> tuple[bool, DataFrame]:
     spark = raw.df.sparkSession
     names = raw.roles.names
     meta: list[tuple] = []
-    if raw.df.isEmpty():
+    # the bare scan stops at the first record; the ordinal join would first
+    # count every file
+    if (raw.scan if raw.scan is not None else raw.df).isEmpty():
         meta.append(("empty", "error", None, None, 0, "the file is empty"))
     missing = [c for c in REQUIRED if c not in names]
     if missing:

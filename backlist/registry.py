@@ -33,7 +33,10 @@ QTY_HEADER = '" Net Sales Q\n{y} "'
 def _memo(spark: SparkSession, key: tuple, build):
     """One lazy catalog plan per session and input (plans are immutable; this
     saves re-building the client-side plan, no data is cached)."""
-    memo = spark.__dict__.setdefault("_backlist_plans", {})
+    try:
+        memo = spark.__dict__.setdefault("_backlist_plans", {})
+    except AttributeError:          # a session type without instance attributes
+        return build()
     if key not in memo:
         memo[key] = build()
     return memo[key]

@@ -56,17 +56,17 @@ def series_positions(series: DataFrame, keys: Sequence[str], points: int, center
     groups by (keys, metric): the window's partitioning already satisfies the
     group-by, so there is a single shuffle, and every group holds at most
     ``points`` rows."""
-    w = Window.partitionBy(*keys)
-    s = series.select(*keys, "year", *metrics,
-                      F.row_number().over(w.orderBy("year")).alias("_k"),
-                      F.count(F.lit(1)).over(w).alias("n"))
-    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("_y"))
-                        for m in metrics])
-    long = s.select(*keys, "year", "_k", "n", F.inline(entries))
-    x = (F.col("year") - F.lit(center)).cast("double")
-    aggs = [F.max("n").alias("n")]
-    aggs += [F.max(F.when(F.col("_k") == i, x)).alias(f"x_{i}") for i in range(1, points + 1)]
-    aggs += [F.max(F.when(F.col("_k") == i, F.col("_y"))).alias(f"y_{i}") for i in range(1, points + 1)]
+    k = [f"`{c}`" for c in keys]
+    over = f"PARTITION BY {', '.join(k)}" if keys else ""
+    s = series.selectExpr(*k, "year", *[f"`{m}`" for m in metrics],
+                          f"row_number() OVER ({over} ORDER BY year) AS _k",
+                          f"count(1) OVER ({over}) AS n")
+    entries = ", ".join(f"named_struct('metric', '{m}', '_y', CAST(`{m}` AS DOUBLE))" for m in metrics)
+    long = s.selectExpr(*k, "year", "_k", "n", f"inline(array({entries}))")
+    x = f"CAST(year - {center} AS DOUBLE)"
+    aggs = [F.expr("max(n) AS n")]
+    aggs += [F.expr(f"max(CASE WHEN _k = {i} THEN {x} END) AS x_{i}") for i in range(1, points + 1)]
+    aggs += [F.expr(f"max(CASE WHEN _k = {i} THEN _y END) AS y_{i}") for i in range(1, points + 1)]
     return long.groupBy(*keys, "metric").agg(*aggs)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from backlist.functions.agg import money_sum, pct_change
+from backlist.functions.agg import money_sum_sql, pct_change
 from backlist.functions.fmt import round_half_even
 from backlist.sources.catalog import Catalog
 
@@ -35,12 +35,11 @@ def yearly_summary(catalog: Catalog, keys: Sequence[str] = ()) -> DataFrame:
     """
     ty = _drop_null_keys(catalog.title_year(carry=keys), keys)
     agg = ty.groupBy(*keys, "year").agg(
-        money_sum("net_sales").alias("total_sales"),
-        money_sum("net_qty").alias("total_quantity"),
-        F.count_if(F.col("net_sales") > 0).alias("active_titles"))
-    return agg.select(*keys, "year", "total_sales", "total_quantity", "active_titles",
-                      (F.col("total_sales") / F.greatest(F.col("active_titles"), F.lit(1)))
-                      .alias("revenue_per_title"))
+        F.expr(f"{money_sum_sql('net_sales')} AS total_sales"),
+        F.expr(f"{money_sum_sql('net_qty')} AS total_quantity"),
+        F.expr("count_if(net_sales > 0) AS active_titles"))
+    return agg.selectExpr(*[f"`{k}`" for k in keys], "year", "total_sales", "total_quantity",
+                          "active_titles", "total_sales / greatest(active_titles, 1) AS revenue_per_title")
 
 
 def title_series(catalog: Catalog) -> DataFrame:

@@ -50,12 +50,9 @@ class Catalog:
         Every title has a row for every series year (zero when it sold
         nothing), so means and counts include non-selling titles.
         """
-        points = F.array(*[
-            F.struct(F.lit(y).cast("int").alias("year"),
-                     F.col(sales_col(y)).alias("net_sales"),
-                     F.col(qty_col(y)).alias("net_qty"))
-            for y in self.years])
-        return self.titles.select("row_id", *carry, F.inline(points))
+        points = ", ".join(f"named_struct('year', CAST({y} AS INT), 'net_sales', `{sales_col(y)}`, "
+                           f"'net_qty', `{qty_col(y)}`)" for y in self.years)
+        return self.titles.selectExpr("row_id", *[f"`{c}`" for c in carry], f"inline(array({points}))")
 
     def latest(self, extra: Sequence[str] = ()) -> DataFrame:
         """Per-title attributes plus ``sales`` = the latest-year sales column."""

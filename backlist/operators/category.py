@@ -13,11 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backlist.functions.agg import money_sum
+from backlist.functions.agg import money_sum_sql
 from backlist.functions.fmt import money_text, round_half_even
 from backlist.sources.roles import DIM_LABEL
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def category_analysis(latest: DataFrame, dims: Sequence[str]) -> DataFrame:
     """``dimension, category, total_sales, title_count, revenue_per_title`` for
     every present dimension in one job: the dimensions are unpivoted (narrow)
@@ -29,7 +33,7 @@ def category_analysis(latest: DataFrame, dims: Sequence[str]) -> DataFrame:
                                F.col(d).cast("string").alias("category")) for d in dims])
     long = latest.select("sales", F.inline(pairs)).where(F.col("category").isNotNull())
     g = long.groupBy("dimension", "category").agg(
-        money_sum("sales").alias("total_sales"), F.count(F.lit(1)).alias("title_count"))
+        F.expr(f"{money_sum_sql('sales')} AS total_sales"), F.count(F.lit(1)).alias("title_count"))
     return g.select("dimension", "category", "total_sales", "title_count",
                     (F.col("total_sales") / F.when(F.col("title_count") == 0, F.lit(1))
                      .otherwise(F.col("title_count"))).alias("revenue_per_title"))
@@ -43,7 +47,7 @@ def dimension_metrics(latest: DataFrame, dim: str, *, mean_name: str = "avg_sale
     count of non-NULL title keys.  ``order='sales'`` sorts by the rounded sum
     descending (ties by key); ``top`` keeps the first rows of that order."""
     df = latest.where(F.col(dim).isNotNull())
-    aggs = [money_sum("sales").alias("_sum"), F.count("sales").alias(count_name)]
+    aggs = [F.expr(f"{money_sum_sql('sales')} AS _sum"), F.count("sales").alias(count_name)]
     if total_titles:
         aggs.append(F.count("title_key").alias("total_titles"))
     g = df.groupBy(dim).agg(*aggs)
@@ -98,7 +102,7 @@ def value_counts(latest: DataFrame, dim: str) -> DataFrame:
 def sales_by(latest: DataFrame, dim: str, top: int | None = None) -> DataFrame:
     """Unrounded latest-sales total per non-NULL value, largest first."""
     out = (latest.where(F.col(dim).isNotNull()).groupBy(dim)
-           .agg(money_sum("sales").alias("total_sales"))
+           .agg(F.expr(f"{money_sum_sql('sales')} AS total_sales"))
            .orderBy(F.col("total_sales").desc(), F.col(dim).asc()))
     return out.limit(top) if top else out
 
@@ -121,8 +125,8 @@ def copub_comparison(latest: DataFrame, yes: str = "Yes", no: str = "No") -> Dat
     is_yes, is_no = F.col("copub") == yes, F.col("copub") == no
     g = latest.agg(
         F.count_if(is_yes).alias("copub_titles"), F.count_if(is_no).alias("non_copub_titles"),
-        money_sum(F.when(is_yes, F.col("sales"))).alias("_sy"),
-        money_sum(F.when(is_no, F.col("sales"))).alias("_sn"))
+        F.expr(f"{money_sum_sql(f'CASE WHEN copub = {_sql_str(yes)} THEN sales END')} AS _sy"),
+        F.expr(f"{money_sum_sql(f'CASE WHEN copub = {_sql_str(no)} THEN sales END')} AS _sn"))
     both = (F.col("copub_titles") > 0) & (F.col("non_copub_titles") > 0)
     return g.select(
         "copub_titles", "non_copub_titles",

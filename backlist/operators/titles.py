@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backlist.functions.agg import money_sum
+from backlist.functions.agg import money_sum_sql
 from backlist.functions.fmt import money_text
 from backlist.plans.guards import bounded_broadcast
 from backlist.plans.quantiles import exact_quantiles
@@ -61,8 +61,8 @@ def quartile_comparison(latest: DataFrame, approx: bool = False, accuracy: int =
     flagged = latest.select("sales", (s >= q75).alias("_top"), (s <= q25).alias("_bottom"))
     top, bottom = F.col("_top"), F.col("_bottom")
     g = flagged.agg(
-        F.count_if(top).alias("nt"), money_sum(F.when(top, s)).alias("st"),
-        F.count_if(bottom).alias("nb"), money_sum(F.when(bottom, s)).alias("sb"))
+        F.count_if(top).alias("nt"), F.expr(f"{money_sum_sql('CASE WHEN _top THEN sales END')} AS st"),
+        F.count_if(bottom).alias("nb"), F.expr(f"{money_sum_sql('CASE WHEN _bottom THEN sales END')} AS sb"))
     g = g.select(q25.alias("q25"), q75.alias("q75"), "nt", "st", "nb", "sb")
     rows = F.array(
         F.struct(F.lit("Top 25%").alias("quartile"), F.col("q75").alias("threshold"),
@@ -76,7 +76,7 @@ def pubyear_performance(latest: DataFrame, latest_year: int, min_year: int = 201
     """Latest-year sales and title count per publication year >= ``min_year``
     (the year filter runs before the group-by; NULL years drop out)."""
     return (latest.where(F.col("fiscal_year") >= min_year).groupBy("fiscal_year")
-            .agg(money_sum("sales").alias(f"total_sales_{latest_year}"),
+            .agg(F.expr(f"{money_sum_sql('sales')} AS total_sales_{latest_year}"),
                  F.count("title_key").alias("title_count"))
             .withColumnRenamed("fiscal_year", "publication_year")
             .orderBy("publication_year"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backlist.functions.fmt import money_text
@@ -41,10 +41,6 @@ FLOORED = ("total_sales", "total_quantity", "active_titles")
 MAX_HORIZON = 5
 
 
-def _d(v: float) -> Column:
-    return F.lit(float(v))
-
-
 # --------------------------------------------------------------------------
 # front ends: build the positional frame (keys..., metric, n, x_i, y_i)
 # --------------------------------------------------------------------------
@@ -76,23 +72,20 @@ def title_positions(catalog: Catalog, center: int) -> DataFrame:
     shuffled.  Metrics are a single title's yearly summary (active = 1 when
     it sold, revenue per title = its sales)."""
     years = list(catalog.years)
-    per_metric = {}
-    for m in METRICS:
-        ys = []
-        for y in years:
-            s = F.col(sales_col(y))
-            active = F.when(s > 0, _d(1)).otherwise(_d(0))
-            ys.append({"total_sales": s, "total_quantity": F.col(qty_col(y)),
-                       "active_titles": active,
-                       "revenue_per_title": s / F.greatest(active, _d(1))}[m])
-        per_metric[m] = ys
-    entries = F.array(*[
-        F.struct(F.lit(m).alias("metric"), *[v.cast("double").alias(f"y_{i + 1}")
-                                              for i, v in enumerate(per_metric[m])])
-        for m in METRICS])
-    xs = [_d(y - center).alias(f"x_{i + 1}") for i, y in enumerate(years)]
-    return catalog.titles.select("row_id", F.lit(len(years)).cast("bigint").alias("n"), *xs,
-                                 F.inline(entries))
+
+    def value(metric: str, y: int) -> str:
+        sales = f"`{sales_col(y)}`"
+        active = f"CASE WHEN {sales} > 0 THEN 1.0D ELSE 0.0D END"
+        return {"total_sales": sales, "total_quantity": f"`{qty_col(y)}`", "active_titles": active,
+                "revenue_per_title": f"{sales} / greatest({active}, 1.0D)"}[metric]
+
+    entries = ", ".join(
+        f"named_struct('metric', '{m}', " +
+        ", ".join(f"'y_{i + 1}', CAST({value(m, y)} AS DOUBLE)" for i, y in enumerate(years)) + ")"
+        for m in METRICS)
+    xs = [f"{float(y - center)!r}D AS x_{i + 1}" for i, y in enumerate(years)]
+    return catalog.titles.selectExpr("row_id", f"CAST({len(years)} AS BIGINT) AS n", *xs,
+                                     f"inline(array({entries}))")
 
 
 # --------------------------------------------------------------------------

@@ -47,3 +47,9 @@ def test_per_title_projection_adds_no_shuffle(spark, plans):
     from backlist.sources.testdata import tpch_catalog
     titles = plan(tpch_catalog(spark, SF001).titles)
     assert exchanges(plans["projections_by_title"]) == exchanges(titles)
+
+
+def test_no_cartesian_products(plans):
+    for name, p in plans.items():
+        for marker in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert marker not in p, (name, marker)

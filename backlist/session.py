@@ -55,7 +55,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = jsc.getCheckpointDir().get()
     if not root:
         root = os.environ.get("BACKLIST_LOCAL_CHECKPOINT_DIR", "/tmp/backlist-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
+        try:
+            spark.conf.set("spark.checkpoint.dir", root)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
     if jsc is not None and not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -1,10 +1,10 @@
 """Aggregate expressions with run-to-run reproducible results.
 
-Money is summed exactly in fixed point so totals do not depend on row
-order, partition count or cluster size (a DOUBLE sum does).  Values are
-turned into integer units of ``10**-scale`` and summed in two 64-bit lanes
-(high and low bits), which is as cheap as a plain ``sum(bigint)`` yet cannot
-overflow even when one group holds hundreds of billions of rows.
+Money is summed exactly, so totals do not depend on row order, partition
+count or cluster size (a DOUBLE sum does).  Integer units of ``10**-scale``
+are summed in two 64-bit lanes (high and low bits), which is as cheap as a
+plain ``sum(bigint)`` yet cannot overflow even when one group holds hundreds
+of billions of rows.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY_SCALE = 4            # a hundredth of a cent
+MONEY_SCALE = 4            # most money has at most four decimals
 LANE_BITS = 20             # low lane < 2**20: 2**43 rows per group before it can overflow
-FIXED_LIMIT = 1e14         # |value| * 10**4 stays well inside a 64-bit integer
 
 
 def _col(c: Column | str) -> Column:
@@ -38,32 +37,31 @@ def fixed_sum(units: Column, scale: int) -> Column:
     return (total * F.lit(Decimal(1).scaleb(-scale))).cast("double")
 
 
-def money_sum(c: Column | str) -> Column:
-    """Exact, order-independent sum of a DOUBLE money column (to 1e-4), as DOUBLE.
+def money_sum_sql(v: str) -> str:
+    """Order-independent sum of a DOUBLE money column, as SQL text (one parse
+    in the JVM instead of a chain of client-side calls).
 
-    A group holding a value that is not finite or too large for fixed point
-    falls back to the plain DOUBLE sum (so inf / NaN still propagate).
+    Every row's value counts as the decimal number that it prints as, and each
+    row takes its own lane: values with at most four decimals are summed as
+    integers (``rint`` divided back gives the value again), others as
+    ``DECIMAL(38,16)``, and what no such decimal can hold (1e22 and more, inf,
+    NaN) as DOUBLE.  No row's lane changes another row's.
     """
-    c = _col(c)
-    safe = F.abs(c) < F.lit(FIXED_LIMIT)
-    exact = fixed_sum(fixed_point(F.when(safe, c), MONEY_SCALE), MONEY_SCALE)
-    return F.when(F.count_if(~safe) > 0, F.sum(c)).otherwise(exact)
-
-
-def money_sum_sql(col: str) -> str:
-    """``money_sum`` as SQL text over a column name (one parse in the JVM
-    instead of a chain of client-side calls; the same expression)."""
-    u = f"CAST(rint(CASE WHEN abs({col}) < {FIXED_LIMIT!r}D THEN {col} END * 10000.0D) AS BIGINT)"
-    mask = (1 << LANE_BITS) - 1
-    exact = (f"CAST((CAST(sum(shiftright({u}, {LANE_BITS})) AS DECIMAL(38,0)) * CAST({1 << LANE_BITS} AS DECIMAL(38,0)) "
-             f"+ CAST(sum({u} & {mask}) AS DECIMAL(38,0))) * 0.0001BD AS DOUBLE)")
-    return f"CASE WHEN count_if(NOT (abs({col}) < {FIXED_LIMIT!r}D)) > 0 THEN sum({col}) ELSE {exact} END"
-
-
-def money_avg(c: Column | str) -> Column:
-    """Mean over non-NULL values built on ``money_sum``."""
-    c = _col(c)
-    return money_sum(c) / F.count(c)
+    units = f"rint({v} * 10000D)"
+    short = f"coalesce(abs({v}) < 1e14D AND {units} / 10000D = {v}, false)"
+    u = f"CASE WHEN {short} THEN CAST({units} AS BIGINT) END"
+    exact = f"CASE WHEN NOT {short} THEN try_cast({v} AS DECIMAL(38,16)) END"
+    huge = f"CASE WHEN NOT {short} AND try_cast({v} AS DECIMAL(38,16)) IS NULL THEN {v} END"
+    lanes = (f"(CAST(sum(shiftright({u}, {LANE_BITS})) AS DECIMAL(38,0)) * CAST({1 << LANE_BITS} AS DECIMAL(38,0)) "
+             f"+ CAST(sum({u} & {(1 << LANE_BITS) - 1}) AS DECIMAL(38,0))) * 0.0001BD")
+    parts = (f"CAST({lanes} AS DECIMAL(38,16))", f"sum({exact})")
+    whole = f"CAST(coalesce({parts[0]} + {parts[1]}, {parts[0]}, {parts[1]}) AS DOUBLE)"
+    return f"coalesce({whole} + sum({huge}), {whole}, sum({huge}))"
+
+
+def money_sum(name: str) -> Column:
+    """``money_sum_sql`` of a column, given by its name."""
+    return F.expr(money_sum_sql(f"`{name}`"))
 
 
 def pct_change(cur: Column, prev: Column) -> Column:

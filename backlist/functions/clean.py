@@ -22,13 +22,22 @@ NA_WORDS = (
 
 # Date layouts tried in order; the first that parses wins.  Each is tried
 # only on text of its shape (a failed parse costs an exception per cell).
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy")
+DATE_FORMATS = ("yyyy-M-d", "yyyy-MM-dd HH:mm:ss", "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "yyyy-MM-dd'T'HH:mm:ss",
+                "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "M/d/yyyy H:mm", "yyyyMMdd", "yyyy")
 DATE_SHAPES = {
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
     "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
     "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
     "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{4,} \d{1,2}, \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,} \d{4}$",
+    "M/d/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "yyyy": r"^\d{4}$",
 }
 
 # What pandas' numeric parser accepts: optional sign, digits with optional

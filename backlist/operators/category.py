@@ -25,7 +25,8 @@ def _sql_str(v: str) -> str:
 def category_analysis(latest: DataFrame, dims: Sequence[str]) -> DataFrame:
     """``dimension, category, total_sales, title_count, revenue_per_title`` for
     every present dimension in one job: the dimensions are unpivoted (narrow)
-    and aggregated together with a single shuffle."""
+    and aggregated together with a single shuffle.  Sorted by dimension, then
+    by sales, largest first."""
     dims = [d for d in dims if d in latest.columns]
     if not dims:
         raise ValueError("no category dimension present")
@@ -36,7 +37,8 @@ def category_analysis(latest: DataFrame, dims: Sequence[str]) -> DataFrame:
         F.expr(f"{money_sum_sql('sales')} AS total_sales"), F.count(F.lit(1)).alias("title_count"))
     return g.select("dimension", "category", "total_sales", "title_count",
                     (F.col("total_sales") / F.when(F.col("title_count") == 0, F.lit(1))
-                     .otherwise(F.col("title_count"))).alias("revenue_per_title"))
+                     .otherwise(F.col("title_count"))).alias("revenue_per_title")
+                    ).orderBy("dimension", F.desc("total_sales"), "category")
 
 
 def dimension_metrics(latest: DataFrame, dim: str, *, mean_name: str = "avg_sales",

@@ -42,16 +42,6 @@ def yearly_summary(catalog: Catalog, keys: Sequence[str] = ()) -> DataFrame:
                           "active_titles", "total_sales / greatest(active_titles, 1) AS revenue_per_title")
 
 
-def title_series(catalog: Catalog) -> DataFrame:
-    """``yearly_summary(keys=['row_id'])`` without the group-by: a title is one
-    row per year already, so each title's series is a narrow projection."""
-    ty = catalog.title_year()
-    active = F.when(F.col("net_sales") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    return ty.select("row_id", "year", F.col("net_sales").alias("total_sales"),
-                     F.col("net_qty").alias("total_quantity"), active.alias("active_titles"),
-                     (F.col("net_sales") / F.greatest(active, F.lit(1))).alias("revenue_per_title"))
-
-
 def yoy_growth(yearly: DataFrame, keys: Sequence[str] = (), drop_first: bool = False) -> DataFrame:
     """Percent change from the previous *row* of the series (not the previous
     calendar year) for sales and active titles; NULL on the first row and on

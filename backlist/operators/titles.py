@@ -10,6 +10,7 @@ from backlist.functions.agg import money_sum_sql
 from backlist.functions.fmt import money_text
 from backlist.plans.guards import bounded_broadcast
 from backlist.plans.quantiles import exact_quantiles
+from backlist.session import checkpoint_root
 
 
 def _present(df: DataFrame, cols) -> list[str]:
@@ -53,6 +54,9 @@ def quartile_comparison(latest: DataFrame, approx: bool = False, accuracy: int =
         q = latest.agg(pa.alias("_q")).select(F.col("_q")[0].cast("double").alias("q25"),
                                              F.col("_q")[1].cast("double").alias("q75"))
     else:
+        # two columns, computed once: the quantiles and the comparison read them
+        checkpoint_root(latest.sparkSession)
+        latest = latest.select("row_id", "sales").checkpoint(eager=True)
         q = exact_quantiles(latest, "sales", [0.25, 0.75], ["q25", "q75"], tiebreak="row_id")
     # both thresholds in one scalar subquery (one row by construction)
     thresholds = q.select(F.struct("q25", "q75")).scalar()

@@ -1,44 +1,52 @@
 """Global row ordinals (file order) without a global sort or a single task.
 
-Each file's rows get ``offset(file) + position in file`` where the offsets
-come from one small aggregate (one row per input file) that is broadcast.
+Every read block of a file gets ``offset(block)``, and its rows follow in the
+order of their ids; the offsets come from one small aggregate (one row per
+block of a file).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backlist.plans.guards import bounded_broadcast
 
+def natural_order(path: Column) -> Column:
+    """Sort key that compares runs of digits as numbers: part-99999 before
+    part-100000."""
+    runs = F.split(path, r"(?<=\D)(?=\d)|(?<=\d)(?=\D)")
+    return F.transform(runs, lambda t: F.when(t.rlike(r"^\d+$"), F.lpad(F.ltrim(t, F.lit("0")), 24, "0")).otherwise(t))
 
-def with_file_ordinal(scan: DataFrame, name: str = "row_id", fmt: str = "csv") -> DataFrame:
-    """Add a 0-based ordinal in (file path, row within file) order.
+
+def with_file_ordinal(scan: DataFrame, name: str = "row_id", header: bool = False) -> DataFrame:
+    """Add a 0-based ordinal in (file, row within file) order; files are
+    ordered by name with numbers compared as numbers.
 
     ``scan`` must be a file-source DataFrame straight from ``spark.read`` (it
-    uses the hidden ``_metadata`` column).  Parquet uses the per-file row
-    index; multi-line CSV files are never split, so each file is read by one
-    task in order and the position is the id distance from the file's first
-    row in that task.
+    uses the hidden ``_metadata`` column); files may be split.  With
+    ``header`` the first record of every file is its header: it is left out,
+    and a file whose header differs from the first file's fails the job by
+    name instead of being read by position.
     """
     cols = scan.columns
-    if fmt == "parquet":
-        pos = F.col("_metadata.row_index")
-    else:
-        pos = F.monotonically_increasing_id()
-    if len(scan.inputFiles()) == 1:
-        # one file: its row index is the ordinal (an unsplit CSV file is
-        # read by the only task, partition 0, whose ids start at 0)
-        single = pos if fmt == "parquet" else F.monotonically_increasing_id()
-        return scan.select(*[F.col(c) for c in cols], single.cast("bigint").alias(name))
-    tagged = scan.select(*[F.col(c) for c in cols],
-                         F.col("_metadata.file_path").alias("_file"), pos.alias("_pos"))
-    per_file = tagged.groupBy("_file").agg(F.min("_pos").alias("_first"),
-                                           F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_file.select("_file", "_first",
-                              F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    n_files = max(len(scan.inputFiles()), 1)
-    out = tagged.join(bounded_broadcast(offsets, n_files), "_file")
-    return out.select(*[F.col(c) for c in cols],
-                      (F.col("_offset") + F.col("_pos") - F.col("_first")).cast("bigint").alias(name))
+    block = ["_file", "_start"]
+    tagged = scan.select(*[F.col(c) for c in cols], F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_start"),
+                         F.monotonically_increasing_id().alias("_pos"))
+    aggs = [F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")]
+    if header:
+        aggs.append(F.min_by(F.array(*[F.col(c).cast("string") for c in cols]), "_pos").alias("_header"))
+    per_block = tagged.groupBy(*block).agg(*aggs)
+    order = Window.orderBy(natural_order(F.col("_file")), "_file", "_start")  # one row per block of a file
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    skip = F.lit(0)
+    if header:
+        same = F.col("_header") == F.first("_header").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        skip = F.when(F.col("_start") == 0, F.when(same, 1).otherwise(F.raise_error(F.concat(
+            F.lit("the header differs from the first file's: "), F.col("_file"))).cast("int"))).otherwise(0)
+        per_block = per_block.withColumn("_skip", skip).select(
+            *block, F.col("_first") + F.col("_skip"), (F.col("_n") - F.col("_skip")).alias("_n")).toDF(*block, "_first", "_n")
+    offsets = per_block.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (tagged.join(offsets, block).where(F.col("_pos") >= F.col("_first"))
+            .select(*[F.col(c) for c in cols],
+                    (F.col("_offset") + F.col("_pos") - F.col("_first")).cast("bigint").alias(name)))

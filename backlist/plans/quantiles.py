@@ -4,7 +4,9 @@ Spark's exact ``percentile`` keeps a value->count map per group, which for a
 global quantile over billions of distinct values lands in one task.  Here
 the column is range-partitioned and sorted (a distributed sort), each row's
 global rank is ``offset(partition) + position``, and only the (at most two
-per probability) rows at the needed ranks are kept.
+per probability) rows at the needed ranks are kept.  Offsets and positions must
+come from one and the same ordering (every range sort samples for itself), so
+the ordered column is checkpointed in the shared folder and read twice.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backlist.plans.guards import bounded_broadcast, max_shuffle_partitions
+from backlist.session import checkpoint_root
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
@@ -40,6 +43,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
 
     ordered = v.orderBy("v", "_tb").select(
         "v", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    checkpoint_root(df.sparkSession)
+    ordered = ordered.checkpoint(eager=True)
     per_part = ordered.groupBy("_pid").agg(F.min("_mid").alias("_first"),
                                             F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

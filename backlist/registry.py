@@ -124,7 +124,7 @@ def q_parse_dates(spark, d):
 
 def q_title_key(spark, d):
     scan = spark.read.parquet(f"{d}/part.parquet")
-    part = with_file_ordinal(scan, "ordinal", fmt="parquet")
+    part = with_file_ordinal(scan, "ordinal")
     work_ref = F.when(F.col("p_partkey") % 13 == 0, F.lit(None).cast("string")) \
         .otherwise(F.concat(F.lit("w"), F.col("p_partkey")))
     return part.select("p_partkey", csvc.synthetic_key(work_ref, F.col("ordinal")).alias("title_key"))

@@ -1,8 +1,8 @@
 """End-to-end run over one catalog export: validate, curate once to Parquet,
 then write every report (the exports a user of the catalog views takes away).
 
-    python -m backlist <catalog.csv> <out_dir> [--years 2016-2024] [--horizon 3]
-        [--confidence Moderate] [--run-date 2026-01-31]
+    python -m backlist <catalog.csv> <out_dir> [--years 2016-2024] [--last-year 2024]
+        [--horizon 3] [--confidence Moderate] [--run-date 2026-01-31]
 """
 
 from __future__ import annotations
@@ -24,36 +24,51 @@ from backlist.sources.roles import DEFAULT_YEARS
 
 def run_report(spark: SparkSession, path: str, out: str, *, run_date: dt.date,
                years: Sequence[int] = DEFAULT_YEARS, horizon: int = 3,
-               confidence: str = "Moderate") -> dict[str, str]:
+               confidence: str = "Moderate", last_year: int | None = None) -> dict[str, str]:
+    """``last_year`` anchors the projections (default: the last of ``years``,
+    whatever years the catalog has)."""
+    years = tuple(years)
+    anchor = max(years) if last_year is None else last_year
     raw = csvc.read_catalog(spark, path, years=years)
     ok, report = csvc.validate(raw)
-    written = {"validation": sinks.write_small_csv(report, f"{out}/validation", bound=4 + 2 * len(raw.roles.names))}
-    if not ok:
+    written = {"validation": sinks.write_small_csv(report, f"{out}/validation")}
+    if not ok or csvc.data_errors(spark.read.schema(csvc.REPORT_SCHEMA).option("header", "true").csv(written["validation"])):
         raise csvc.CatalogError(f"{path} failed validation; see {written['validation']}")
     catalog = sinks.materialize(csvc.curate(raw), f"{out}/curated_titles")
-    ny = len(catalog.years)
     latest = catalog.latest()
     yearly = ser.yearly_summary(catalog)
+    growth = ser.yoy_growth(yearly)
+    # a few rows each: years, methods, bins, or the top of a ranking
     small = {
-        "time_series_data": (yearly, ny),
-        "analysis_summary": (ser.analysis_summary(ser.portfolio_kpis(catalog, yearly)), 4),
-        "growth": (ser.yoy_growth(yearly), ny),
-        "top_titles": (tit.top_titles(latest), 20),
-        "sales_histogram": (tit.sales_histogram(latest), 30),
-        "quartiles": (tit.quartile_comparison(latest), 2),
+        "time_series_data": yearly.orderBy("year"),
+        "analysis_summary": ser.analysis_summary(ser.portfolio_kpis(catalog, yearly)),
+        "growth": growth.orderBy("year"),
+        "top_titles": tit.top_titles(latest),
+        "sales_histogram": tit.sales_histogram(latest).orderBy("bin"),
+        "quartiles": tit.quartile_comparison(latest),
     }
-    if catalog.latest_year is not None and ny >= 1:
-        proj = prj.project(yearly, years=catalog.years, last_year=max(catalog.years),
-                           horizon=horizon, confidence=confidence)
-        small["sales_projections"] = (proj, 3 * 4 * horizon)
-        small["projection_summary"] = (prj.projection_summary(proj, max(catalog.years), horizon), 2)
-    for name, (df, bound) in small.items():
-        written[name] = sinks.write_small_csv(df, f"{out}/{sinks.stamped(name, run_date)}", bound)
+    if catalog.latest_year is not None and catalog.years:
+        proj = prj.project(yearly, years=catalog.years, last_year=anchor, horizon=horizon, confidence=confidence)
+        small["sales_projections"] = proj
+        small["projection_summary"] = prj.projection_summary(proj, anchor, horizon)
+    for name, df in small.items():
+        written[name] = sinks.write_small_csv(df, f"{out}/{sinks.stamped(name, run_date)}")
+    # a row per category: bounded by the data, so datasets
+    tables = {"publication_years": ("fiscal_year", lambda: tit.pubyear_performance(latest, catalog.latest_year))}
     if catalog.dims:
-        # one row per (dimension, category): bounded by the data, so a dataset
-        written["category_analysis"] = sinks.write_dataset(
-            cat.category_analysis(latest, catalog.dims), f"{out}/{sinks.stamped('category_analysis', run_date)}",
-            fmt="csv")
+        tables["category_analysis"] = (catalog.dims[0], lambda: cat.category_analysis(latest, catalog.dims))
+    for name, need, fn in (("editors", "acquisition_editor", cat.editor_metrics),
+                           ("edition_counts", "edition_status", cat.edition_status_counts),
+                           ("edition_sales", "edition_status", cat.edition_status_sales),
+                           ("formats", "reporting_product_type", cat.format_performance),
+                           ("positions", "catalog_position", cat.catalog_position),
+                           ("legacy", "legacy_library", cat.legacy_performance),
+                           ("investment", "high_investment_group", cat.investment_groups),
+                           ("copublishing", "copub", cat.copub_comparison)):
+        tables[name] = (need, lambda fn=fn: fn(latest))
+    for name, (need, table) in tables.items():
+        if need in latest.columns:
+            written[name] = sinks.write_dataset(table(), f"{out}/{sinks.stamped(name, run_date)}", fmt="csv")
     written["full_dataset"] = sinks.write_dataset(
         catalog.titles, f"{out}/{sinks.stamped('full_dataset', run_date)}")
     return written
@@ -64,6 +79,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("catalog")
     ap.add_argument("out")
     ap.add_argument("--years", default="2016-2024")
+    ap.add_argument("--last-year", type=int, default=None)
     ap.add_argument("--horizon", type=int, default=3)
     ap.add_argument("--confidence", default="Moderate")
     ap.add_argument("--run-date", default=None)
@@ -72,7 +88,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     run_date = dt.date.fromisoformat(a.run_date) if a.run_date else dt.date.today()
     spark = SparkSession.builder.appName("backlist-report").getOrCreate()
     for name, p in run_report(spark, a.catalog, a.out, run_date=run_date, years=range(lo, hi + 1),
-                              horizon=a.horizon, confidence=a.confidence).items():
+                              horizon=a.horizon, confidence=a.confidence, last_year=a.last_year).items():
         print(f"{name}\t{p}")
 
 

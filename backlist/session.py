@@ -7,7 +7,8 @@ and command-line use.
 
 from __future__ import annotations
 
-import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,27 +44,28 @@ def get_spark(app: str = "backlist", cpus: int | str = "*", shuffle_partitions:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session.  Only when nothing is configured (local runs,
-    tests) do we set one ourselves.
+    Read from the session.  Where nothing is configured, a local session (one
+    machine, as in tests) gets a temporary folder; a cluster is refused, as
+    its executors would each write to a disk of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        jsc = spark.sparkContext._jsc.sc()
-    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
-        jsc = None
-    if not root and jsc is not None and jsc.getCheckpointDir().isDefined():
+    jsc = spark.sparkContext._jsc.sc()
+    if not root and jsc.getCheckpointDir().isDefined():
         root = jsc.getCheckpointDir().get()
     if not root:
-        root = os.environ.get("BACKLIST_LOCAL_CHECKPOINT_DIR", "/tmp/backlist-checkpoints")
-        try:
-            spark.conf.set("spark.checkpoint.dir", root)
-        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
-            pass
-    if jsc is not None and not jsc.getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors "
+                               "share; intermediate tables and checkpoints are written there")
+        root = tempfile.mkdtemp(prefix="backlist-")
+    if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder under the shared checkpoint root, removed when
+    the driver's JVM ends."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

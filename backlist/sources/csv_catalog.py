@@ -28,6 +28,7 @@ from backlist.sources.roles import (
 )
 
 CSV_OPTIONS = {"multiLine": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
+SURPLUS = "_surplus"       # the first cell beyond the header's width
 REQUIRED = ("WorkRef", "PubDate", "FiscalYearOfPublication")
 
 
@@ -43,7 +44,6 @@ class RawCatalog:
     df: DataFrame
     roles: ColumnRoles
     source: str
-    scan: DataFrame | None = None      # the bare file scan (cheap emptiness test)
 
     def col(self, name: str) -> Column:
         return F.col(f"_c{self.roles.position(name)}")
@@ -59,15 +59,26 @@ def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str | No
 
 def read_catalog(spark: SparkSession, path: str | Sequence[str], years: Sequence[int] = DEFAULT_YEARS,
                  mode: str = "strict", sales: Sequence[str] | None = None,
-                 quantity: Sequence[str] | None = None) -> RawCatalog:
+                 quantity: Sequence[str] | None = None, splittable: bool = False) -> RawCatalog:
+    """Every file's header must equal the first file's; a job over files with
+    another one fails and names the file.  ``splittable`` reads one file with
+    many tasks; files in which a quoted cell holds a line break are refused
+    then (checked by counting each line's quotes)."""
     header = read_header(spark, path)
     names = [n.strip() for n in dedup_names(header)]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    scan = spark.read.schema(schema).options(header="true", **CSV_OPTIONS).csv(path)
-    df = with_file_ordinal(scan, "row_id", fmt="csv")
-    df = df.select("row_id", *[null_words(F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(names))])
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+                          + [T.StructField(SURPLUS, T.StringType())])
+    options = dict(CSV_OPTIONS)
+    if splittable:
+        lines = spark.read.text(path)
+        if not lines.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty():
+            raise CatalogError(f"{path} has quoted line breaks and can't be split")
+        options["multiLine"] = "false"
+    scan = spark.read.schema(schema).options(header="false", **options).csv(path)
+    df = with_file_ordinal(scan, "row_id", header=True)
+    df = df.select("row_id", *[null_words(F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(names))], SURPLUS)
     roles = detect_roles(names, years, mode=mode, sales=sales, quantity=quantity)
-    return RawCatalog(df, roles, str(path), scan)
+    return RawCatalog(df, roles, str(path))
 
 
 def read_first(spark: SparkSession, paths: Sequence[str], **kw) -> RawCatalog:
@@ -92,16 +103,15 @@ REPORT_SCHEMA = "check string, severity string, column string, n_bad bigint, n_r
 
 
 def validate(raw: RawCatalog) -> tuple[bool, DataFrame]:
-    """Structural checks (metadata) plus one pass counting, per sales column,
-    non-blank cells that do not parse as money.  Headers are stripped before
-    checking.  Returns ``(ok, report)``; ``ok`` is False on any error row."""
+    """Structural checks of the header, and one pass that counts rows, rows
+    with cells beyond the header's width, and per sales column non-blank cells
+    that do not parse as money.  Headers are stripped before checking.  Returns
+    ``(ok, report)``: ``ok`` is False if the header has errors; the report is
+    lazy, and its rows ``empty`` and ``surplus_cells`` are errors of the data
+    (``data_errors`` runs it for them)."""
     spark = raw.df.sparkSession
     names = raw.roles.names
     meta: list[tuple] = []
-    # the bare scan stops at the first record; the ordinal join would first
-    # count every file
-    if (raw.scan if raw.scan is not None else raw.df).isEmpty():
-        meta.append(("empty", "error", None, None, 0, "the file is empty"))
     missing = [c for c in REQUIRED if c not in names]
     if missing:
         meta.append(("required_columns", "error", None, None, None, f"missing required columns: {missing}"))
@@ -116,9 +126,18 @@ def validate(raw: RawCatalog) -> tuple[bool, DataFrame]:
         meta.append(("roles", "warn", None, None, None, w))
     ok = not any(r[1] == "error" for r in meta)
     report = spark.createDataFrame(meta, REPORT_SCHEMA)
+    surplus = F.col(SURPLUS).isNotNull() if SURPLUS in raw.df.columns else F.lit(False)
+    stats = raw.df.agg(F.count(F.lit(1)).alias("n"), F.count_if(surplus).alias("wide"), *[
+        F.count_if(_not_numeric(raw.col(c))).alias(f"b{i}") for i, c in enumerate(raw.roles.sales)])
+    checks = [("empty", F.col("n") == 0, F.lit(None).cast("bigint"), F.lit("the file is empty")),
+              ("surplus_cells", F.col("wide") > 0, F.col("wide"),
+               F.format_string("%d of %d rows have cells beyond the header", F.col("wide"), F.col("n")))]
+    found = F.filter(F.array(*[F.when(bad, F.struct(F.lit(k).alias("check"), F.lit("error").alias("severity"),
+                                                    F.lit(None).cast("string").alias("column"), n.alias("n_bad"),
+                                                    F.col("n").alias("n_rows"), text.alias("message")))
+                               for k, bad, n, text in checks]), lambda x: x.isNotNull())
+    report = report.unionByName(stats.select(F.inline(found)))
     if raw.roles.sales:
-        stats = raw.df.agg(F.count(F.lit(1)).alias("n"), *[
-            F.count_if(_not_numeric(raw.col(c))).alias(f"b{i}") for i, c in enumerate(raw.roles.sales)])
         entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("n_bad"))
                             for i, c in enumerate(raw.roles.sales)])
         numeric = (stats.select("n", F.inline(entries))
@@ -131,6 +150,14 @@ def validate(raw: RawCatalog) -> tuple[bool, DataFrame]:
     return ok, report
 
 
+DATA_ERRORS = ("empty", "surplus_cells")
+
+
+def data_errors(report: DataFrame) -> list[str]:
+    """Messages of the errors that a pass over the data found (runs it)."""
+    return [r["message"] for r in report.where(F.col("check").isin(*DATA_ERRORS)).collect()]
+
+
 def synthetic_key(work_ref: Column | None, ordinal: Column) -> Column:
     """``<WorkRef>_<row ordinal>`` (a missing WorkRef reads ``nan``), or the
     ordinal alone when there is no WorkRef column."""

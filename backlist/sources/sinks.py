@@ -10,20 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backlist.sources.catalog import Catalog
 
-# row bounds of the small report outputs (years, methods x years x metrics)
-SMALL_OUTPUT_MAX_ROWS = 10_000
-
-
 def stamped(name: str, run_date: dt.date) -> str:
     """``<name>_<YYYYMMDD>``; the run date is an argument, not the clock."""
     return f"{name}_{run_date:%Y%m%d}"
 
 
-def write_small_csv(df: DataFrame, path: str, bound: int) -> str:
+def write_small_csv(df: DataFrame, path: str) -> str:
     """One CSV file with a header for a report whose row count is bounded
-    by ``bound`` (known from its construction: years, methods, metrics)."""
-    if bound > SMALL_OUTPUT_MAX_ROWS:
-        raise ValueError(f"{bound} rows is not a small report; use write_dataset")
+    by its construction (years, methods, metrics, columns of the header)."""
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
     return path
 

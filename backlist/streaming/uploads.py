@@ -34,8 +34,10 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, out: str,
     for p in paths:
         raw = csvc.read_catalog(spark, p, years=years)
         ok, report = csvc.validate(raw)
+        rows = report.collect()            # a few rows per column of the header
+        report = spark.createDataFrame(rows, csvc.REPORT_SCHEMA)
         reports.append(report.select(F.lit(p).alias("upload"), "*"))
-        if not ok:
+        if not ok or any(r["check"] in csvc.DATA_ERRORS for r in rows):
             continue                      # rejected upload: only its report is kept
         cat = csvc.curate(raw)
         curated.append(cat.titles.select(F.lit(p).alias("upload"), "*"))

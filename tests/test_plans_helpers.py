@@ -36,5 +36,5 @@ def test_file_ordinal_parquet(spark, tmp_path):
     p = str(tmp_path / "pq")
     spark.range(0, 50, 1, 3).write.parquet(p)
     scan = spark.read.parquet(p)
-    rows = with_file_ordinal(scan, "o", fmt="parquet").collect()
+    rows = with_file_ordinal(scan, "o").collect()
     assert sorted(r.o for r in rows) == list(range(50))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from backlist.session import shared_dir
 
 # bytes of text handled by one vectorised step inside a task
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -42,7 +42,7 @@ WINDOW = 35
 GRAM = 8
 HOT_GRAMS = 100_000
 HOT_COUNT = 64  # never hot below this
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 _RUN = WINDOW - GRAM + 1  # grams in a window, and the most windows in a segment
 _LATE = np.uint64(1 << 63)
 

@@ -189,7 +189,9 @@ def marks(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     each = materialize(segments(docs), "segments")
     twice = each.groupBy("anchor").agg(F.sum((F.col("place").bitwiseAND(64) / 64).cast("int") + 1).alias("n")).where("n > 1").select("anchor")
-    some = materialize(each.join(twice, "anchor"), "repeated-anchors")
+    # written, so that both sides of the join come straight from a shuffle and
+    # the rows of a hot anchor can be split
+    some = materialize(each.join(materialize(twice, "anchors"), "anchor"), "repeated-anchors")
     distinct = (some.groupBy("anchor", "content")
                 .agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("u1", "u2", "place")).alias("at")))
     distinct = materialize(distinct.select("anchor", "content", "weight", "at.*"), "distinct-segments")

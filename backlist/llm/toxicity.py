@@ -35,7 +35,7 @@ from backlist.llm.text import HashIndex, units
 
 LABELLED_ROWS = 4_000
 TERMS = 1_024
-SUPPORT = 0.1  # a term stands in this share of one class's examples at least
+SUPPORT = 0.01  # a term stands in this share of one class's examples at least
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.3

@@ -141,20 +141,32 @@ _COEF2 = [
 ]
 
 
-def _value(method: str, step: int, X: float, mult: float) -> str:
-    m, i = _lit(mult), _lit(step)
-    if method == "exponential_smoothing":
-        v = f"greatest(0.0D, s_n + (trend * {m}) * {i})"
-    else:
-        lin = f"(a1 + b1 * {_lit(X)})"
-        pred = (f"(CASE WHEN n >= 3 THEN a2 + b2 * {_lit(X)} + c2 * ({_lit(X)} * {_lit(X)}) ELSE {lin} END)"
-                if method == "polynomial" else lin)
-        # degenerate design (repeated years): end-to-end slope fallback
-        fb = f"greatest(0.0D, y_last + ((y_last - y_first) / CAST(n - 1 AS DOUBLE) * {m}) * {i})"
-        scaled = f"(CASE WHEN {pred} IS NULL THEN {fb} ELSE y_last + ({pred} - y_last) * {m} END)"
-        floored = ", ".join(f"'{x}'" for x in FLOORED)
-        v = f"(CASE WHEN metric IN ({floored}) THEN greatest({scaled}, 0.0D) ELSE {scaled} END)"
-    return f"CASE WHEN y_absmax = 0.0D THEN 0.0D ELSE {v} END"
+# the value of one (method, step) row: columns m (confidence multiplier), step
+# and X (the centred year) come from the expansion, the others from the fit
+_FALLBACK = "greatest(0.0D, y_last + ((y_last - y_first) / CAST(n - 1 AS DOUBLE) * m) * step)"  # repeated years
+_LINE = "(a1 + b1 * X)"
+_PRED = f"CASE WHEN kind = 'polynomial' AND n >= 3 THEN a2 + b2 * X + c2 * (X * X) ELSE {_LINE} END"
+_MODEL = f"CASE WHEN pred IS NULL THEN {_FALLBACK} ELSE y_last + (pred - y_last) * m END"
+_SMOOTH = "greatest(0.0D, s_n + (trend * m) * step)"
+
+
+def _expanded(coef: DataFrame, keys: Sequence[str], levels: Sequence[str], methods: Sequence[str], *,
+              last_year: int, center: int, horizon: int) -> DataFrame:
+    """One row per series, level, method and step with its value.  The rows
+    are generated first and valued by one short expression, so the generated
+    code does not grow with levels, methods or steps."""
+    entries = ", ".join(
+        f"named_struct('confidence', '{level}', 'kind', '{method}', 'method', '{method.replace('_', ' ').title()}', "
+        f"'m', {_lit(CONFIDENCE.get(level, 1.0))})" for level in levels for method in methods)
+    fit = ["n", "a1", "b1", "a2", "b2", "c2", "y_last", "y_first", "y_absmax", "s_n", "trend"]
+    each = (coef.selectExpr(*keys, "metric", *fit, f"inline(array({entries}))")
+            .selectExpr("*", f"explode(sequence(1, {horizon})) AS _step"))
+    each = each.selectExpr("*", f"CAST({last_year} + _step AS INT) AS year", "CAST(_step AS DOUBLE) AS step",
+                           f"CAST({last_year - center} + _step AS DOUBLE) AS X").selectExpr("*", f"{_PRED} AS pred")
+    floored = ", ".join(f"'{x}'" for x in FLOORED)
+    value = (f"CASE WHEN y_absmax = 0.0D THEN 0.0D WHEN kind = 'exponential_smoothing' THEN {_SMOOTH} "
+             f"WHEN metric IN ({floored}) THEN greatest({_MODEL}, 0.0D) ELSE {_MODEL} END")
+    return each.selectExpr(*keys, "metric", "confidence", "method", "year", f"{value} AS value")
 
 
 def project_positions(pos: DataFrame, keys: Sequence[str], points: int, *, last_year: int,
@@ -180,16 +192,7 @@ def project_positions(pos: DataFrame, keys: Sequence[str], points: int, *, last_
         *[f"y_{i}" for i in range(1, points + 1)])
     stats = checked.selectExpr(*k, "metric", "n", *_fit_columns(points, alpha))
     coef = stats.selectExpr("*", *_COEF).selectExpr("*", *_COEF2)
-    entries = []
-    for level in levels:
-        mult = CONFIDENCE.get(level, 1.0)
-        for method in methods:
-            label = method.replace("_", " ").title()
-            for step in range(1, horizon + 1):
-                v = _value(method, step, last_year + step - center, mult)
-                entries.append(f"named_struct('confidence', '{level}', 'method', '{label}', "
-                               f"'year', CAST({last_year + step} AS INT), 'value', {v})")
-    out = coef.selectExpr(*k, "metric", f"inline(array({', '.join(entries)}))")
+    out = _expanded(coef, k, levels, methods, last_year=last_year, center=center, horizon=horizon)
     cols = ([F.col("confidence")] if not isinstance(confidence, str) else []) + \
         [F.col("method"), F.col("metric"), F.col("year"), F.col("value")]
     return out.select(*keys, *cols)

@@ -25,8 +25,9 @@ def money_text(c: Column) -> Column:
 
 
 def pct_text(c: Column) -> Column:
-    """``+12.2%`` (as ``f"{x:+.1f}%"``); pre-rounded so halves go to even."""
-    return F.format_string("%+.1f%%", round_half_even(c, 1))
+    """``+12.2%`` (as ``f"{x:+.1f}%"``); pre-rounded so halves go to even.
+    NULL stays NULL."""
+    return F.when(c.isNotNull(), F.format_string("%+.1f%%", round_half_even(c, 1)))
 
 
 def tidy_name(c: Column) -> Column:

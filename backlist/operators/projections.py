@@ -202,6 +202,11 @@ def project_positions(pos: DataFrame, keys: Sequence[str], points: int, *, last_
 # public API
 # --------------------------------------------------------------------------
 
+def middle(years: Sequence[int]) -> int:
+    """The year that the fits are centred on."""
+    return (min(years) + max(years)) // 2
+
+
 def project(series: DataFrame, keys: Sequence[str] = (), *, years: Sequence[int], last_year: int,
             horizon: int = MAX_HORIZON, confidence: str = "Moderate",
             methods: Sequence[str] = METHODS, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -212,17 +217,19 @@ def project(series: DataFrame, keys: Sequence[str] = (), *, years: Sequence[int]
     ``keys..., method, metric, year, value``.
     """
     P = len(years)
-    pos = series_positions(series, keys, P, last_year, metrics)
-    return project_positions(pos, keys, P, last_year=last_year, center=last_year, horizon=horizon,
+    center = middle(years)
+    pos = series_positions(series, keys, P, center, metrics)
+    return project_positions(pos, keys, P, last_year=last_year, center=center, horizon=horizon,
                              confidence=confidence, methods=methods)
 
 
 def project_titles(catalog: Catalog, *, last_year: int, horizon: int = MAX_HORIZON,
                    confidence: str = "Moderate", methods: Sequence[str] = METHODS) -> DataFrame:
     """Per-title projections with no shuffle at all (see ``title_positions``)."""
-    pos = title_positions(catalog, last_year)
+    center = middle(catalog.years)
+    pos = title_positions(catalog, center)
     return project_positions(pos, ["row_id"], len(catalog.years), last_year=last_year,
-                             center=last_year, horizon=horizon, confidence=confidence, methods=methods)
+                             center=center, horizon=horizon, confidence=confidence, methods=methods)
 
 
 def project_confidence_levels(series: DataFrame, keys: Sequence[str] = (), *, years: Sequence[int],
@@ -230,8 +237,9 @@ def project_confidence_levels(series: DataFrame, keys: Sequence[str] = (), *, ye
                               methods: Sequence[str] = METHODS, metrics: Sequence[str] = METRICS) -> DataFrame:
     """All three confidence levels, tagged, from one fit per series."""
     P = len(years)
-    pos = series_positions(series, keys, P, last_year, metrics)
-    out = project_positions(pos, keys, P, last_year=last_year, center=last_year, horizon=horizon,
+    center = middle(years)
+    pos = series_positions(series, keys, P, center, metrics)
+    out = project_positions(pos, keys, P, last_year=last_year, center=center, horizon=horizon,
                             confidence=list(CONFIDENCE), methods=methods)
     return out.select("confidence", *keys, "method", "metric", "year", "value")
 

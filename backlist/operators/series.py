@@ -25,6 +25,17 @@ def _drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def _points(catalog: Catalog, keys: Sequence[str]) -> DataFrame:
+    """Rows to add up per (keys, year).  The portfolio's series takes the sparse
+    facts where there are any, and a zero row for each year: no pivot, no join."""
+    if keys or catalog.facts is None:
+        return _drop_null_keys(catalog.title_year(carry=keys), keys)
+    years = ", ".join(f"CAST({y} AS INT)" for y in catalog.years)
+    zeros = catalog.facts.sparkSession.range(1).selectExpr(
+        f"explode(array({years})) AS year", "0.0D AS net_sales", "0.0D AS net_qty")
+    return catalog.facts.select("year", "net_sales", "net_qty").unionByName(zeros)
+
+
 def yearly_summary(catalog: Catalog, keys: Sequence[str] = ()) -> DataFrame:
     """Per (keys, year): total sales, total quantity, active titles (sales > 0)
     and revenue per active title (``sales / max(active, 1)``).
@@ -33,8 +44,7 @@ def yearly_summary(catalog: Catalog, keys: Sequence[str] = ()) -> DataFrame:
     Partial aggregation runs before the shuffle, so a key that holds a large
     share of all titles still sends one row per task.
     """
-    ty = _drop_null_keys(catalog.title_year(carry=keys), keys)
-    agg = ty.groupBy(*keys, "year").agg(
+    agg = _points(catalog, keys).groupBy(*keys, "year").agg(
         F.expr(f"{money_sum_sql('net_sales')} AS total_sales"),
         F.expr(f"{money_sum_sql('net_qty')} AS total_quantity"),
         F.expr("count_if(net_sales > 0) AS active_titles"))

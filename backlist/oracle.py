@@ -94,139 +94,75 @@ SERIES_SELECT = "SELECT {keys}year, total_sales, total_quantity, active_titles,
 
 # ------------------------------------------------------------------ projections
 
-P = len(YEARS)
-CONF = {"Conservative": "0.8", "Moderate": "1.0", "Optimistic": "1.2"}
-METRICS = ("total_sales", "total_quantity", "active_titles", "revenue_per_title")
-
+# The engine solves normal equations over positional columns; here the line is
+# DuckDB's own regression, the parabola adds the part of x * x that the line
+# leaves over, and smoothing is a recursive query.  Both sides report values in
+# steps of 2 ** -10 (registry.GRID).
 
-def _lsum(terms):
-    return "(" + " + ".join(terms) + ")" if len(terms) > 1 else terms[0]
+CONF = {"Conservative": 0.8, "Moderate": 1.0, "Optimistic": 1.2}
+METRICS = ("total_sales", "total_quantity", "active_titles", "revenue_per_title")
+LABELS = ("Linear", "Polynomial", "Exponential Smoothing")
+MID = (FIRST_YEAR + LAST_YEAR) // 2
 
 
-def _left_sum(terms):
-    # a + b + c parses left-associatively, as the Spark side builds it
-    return " + ".join(f"({t})" for t in terms)
+def series_points(k: str) -> str:
+    return "points AS (" + " UNION ALL ".join(
+        f"SELECT {k}year, '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM series" for m in METRICS) + ")"
 
 
-def _at(cols, idx):
-    return "CASE " + " ".join(f"WHEN {idx} = {i + 1} THEN {c}" for i, c in enumerate(cols)) + " END"
+def title_points() -> str:
+    sold = "CASE WHEN net_sales > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    values = ("net_sales", "net_qty", sold, f"net_sales / greatest({sold}, 1.0::DOUBLE)")
+    return "points AS (" + " UNION ALL ".join(
+        f"SELECT row_id, year, '{m}' AS metric, {v} AS v FROM title_year" for m, v in zip(METRICS, values)) + ")"
 
 
-def positions_sql(keys: list[str], source: str) -> str:
-    """positional frame (keys, metric, n, x_1..x_P, y_1..y_P) from `source`
-    (keys..., year, metrics)."""
-    k = "".join(f"{c}, " for c in keys)
-    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    unions = " UNION ALL ".join(
-        f"SELECT {k}year, _k, n, '{m}' AS metric, CAST({m} AS DOUBLE) AS _y FROM ranked" for m in METRICS)
-    xs = ", ".join(f"max(CASE WHEN _k = {i} THEN CAST(year - {L} AS DOUBLE) END) AS x_{i}" for i in range(1, P + 1))
-    ys = ", ".join(f"max(CASE WHEN _k = {i} THEN _y END) AS y_{i}" for i in range(1, P + 1))
+def proj_sql(k: str, levels=("Moderate",), labels=LABELS) -> str:
+    """From ``points`` to ``proj(confidence, keys, method, metric, year, value)``."""
+    ids = f"{k}metric"
+    on = " AND ".join(f"r.{c.strip()} = s.{c.strip()}" for c in ids.split(","))
     return f"""
 ranked AS (
-  SELECT {k}year, {', '.join(METRICS)},
-         row_number() OVER ({part} ORDER BY year) AS _k, count(*) OVER ({part}) AS n
-  FROM {source}),
-long AS ({unions}),
-pos AS (SELECT {k}metric, max(n) AS n, {xs}, {ys} FROM long GROUP BY {k}metric)
-"""
-
-
-def title_positions_sql() -> str:
-    """positional frame for per-title series directly from title_year."""
-    xs = ", ".join(f"CAST({y - L} AS DOUBLE) AS x_{i + 1}" for i, y in enumerate(YEARS))
-    exprs = {
-        "total_sales": "ty.net_sales",
-        "total_quantity": "ty.net_qty",
-        "active_titles": "CASE WHEN ty.net_sales > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
-        "revenue_per_title": "ty.net_sales / greatest(CASE WHEN ty.net_sales > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE)",
-    }
-    sel = []
-    for m, e in exprs.items():
-        ys = ", ".join(f"max(CASE WHEN ty.year = {y} THEN CAST({e} AS DOUBLE) END) AS y_{i + 1}"
-                       for i, y in enumerate(YEARS))
-        sel.append(f"SELECT ty.row_id, '{m}' AS metric, CAST({P} AS BIGINT) AS n, {xs}, {ys} "
-                   f"FROM title_year ty GROUP BY ty.row_id")
-    return "pos AS (" + " UNION ALL ".join(sel) + ")"
-
-
-def fit_sql(keys: list[str], confidence: str = "Moderate", methods=("linear", "polynomial", "exponential_smoothing"),
-            alpha: str = "0.3") -> str:
-    k = "".join(f"{c}, " for c in keys)
-    xs = [f"COALESCE(x_{i}, 0.0::DOUBLE)" for i in range(1, P + 1)]
-    ys = [f"COALESCE(CASE WHEN isnan(y_{i}) THEN 0.0::DOUBLE ELSE y_{i} END, 0.0::DOUBLE)" for i in range(1, P + 1)]
-    a = f"{alpha}::DOUBLE"
-    b = f"(1.0::DOUBLE - {alpha}::DOUBLE)"
-    S = [ys[0]]
-    for y in ys[1:]:
-        S.append(f"({a} * {y} + {b} * ({S[-1]}))")
-    s_n, s_n1, s_n2 = _at(S, "n"), _at(S, "n - 1"), _at(S, "n - 2")
-    stats = f"""
-stats AS (
-  SELECT {k}metric, n,
-    {' + '.join(xs)} AS S1,
-    {' + '.join(f'{x} * {x}' for x in xs)} AS S2,
-    {' + '.join(f'{x} * {x} * {x}' for x in xs)} AS S3,
-    {' + '.join(f'{x} * {x} * {x} * {x}' for x in xs)} AS S4,
-    {' + '.join(ys)} AS T0,
-    {' + '.join(f'{x} * {y}' for x, y in zip(xs, ys))} AS T1,
-    {' + '.join(f'{x} * {x} * {y}' for x, y in zip(xs, ys))} AS T2,
-    {_at(ys, 'n')} AS y_last, {ys[0]} AS y_first,
-    greatest({', '.join(f'abs({y})' for y in ys)}) AS y_absmax,
-    {s_n} AS s_n,
-    CASE WHEN n >= 3 THEN (({s_n}) - ({s_n2})) / 2.0::DOUBLE ELSE ({s_n}) - ({s_n1}) END AS trend
-  FROM pos WHERE n >= 2),
-coef AS (
-  SELECT *, (T0 - b1 * S1) / CAST(n AS DOUBLE) AS a1 FROM (
-    SELECT *,
-      (CAST(n AS DOUBLE) * T1 - S1 * T0) / NULLIF(CAST(n AS DOUBLE) * S2 - S1 * S1, 0.0::DOUBLE) AS b1,
-      (T0 * (S2 * S4 - S3 * S3) - S1 * (T1 * S4 - S3 * T2) + S2 * (T1 * S3 - S2 * T2)) / NULLIF(det, 0.0::DOUBLE) AS a2,
-      (CAST(n AS DOUBLE) * (T1 * S4 - S3 * T2) - T0 * (S1 * S4 - S2 * S3) + S2 * (S1 * T2 - T1 * S2)) / NULLIF(det, 0.0::DOUBLE) AS b2,
-      (CAST(n AS DOUBLE) * (S2 * T2 - S3 * T1) - S1 * (S1 * T2 - S2 * T1) + T0 * (S1 * S3 - S2 * S2)) / NULLIF(det, 0.0::DOUBLE) AS c2
-    FROM (SELECT *, CAST(n AS DOUBLE) * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S2 * S3) + S2 * (S1 * S3 - S2 * S2) AS det
-          FROM stats) s0) s1)
-"""
-    m = f"{CONF[confidence]}::DOUBLE"
-    rows = []
-    for method in methods:
-        label = method.replace("_", " ").title()
-        for step in range(1, HORIZON + 1):
-            X = f"{float(L + step - L)}::DOUBLE"
-            if method == "exponential_smoothing":
-                v = f"greatest(0.0::DOUBLE, s_n + (trend * {m}) * {float(step)}::DOUBLE)"
-            else:
-                lin = f"(a1 + b1 * {X})"
-                if method == "polynomial":
-                    pred = f"(CASE WHEN n >= 3 THEN a2 + b2 * {X} + c2 * ({X} * {X}) ELSE {lin} END)"
-                else:
-                    pred = lin
-                fb = (f"greatest(0.0::DOUBLE, y_last + ((y_last - y_first) / CAST(n - 1 AS DOUBLE) * {m}) "
-                      f"* {float(step)}::DOUBLE)")
-                scaled = f"(CASE WHEN {pred} IS NULL THEN {fb} ELSE y_last + ({pred} - y_last) * {m} END)"
-                v = (f"(CASE WHEN metric IN ('total_sales', 'total_quantity', 'active_titles') "
-                     f"THEN greatest({scaled}, 0.0::DOUBLE) ELSE {scaled} END)")
-            v = f"CASE WHEN y_absmax = 0.0::DOUBLE THEN 0.0::DOUBLE ELSE {v} END"
-            rows.append(f"SELECT {k}'{label}' AS method, metric, CAST({L + step} AS INTEGER) AS year, {v} AS value FROM coef")
-    return stats.strip() + ", proj AS (" + " UNION ALL ".join(rows) + ")"
-
-
-def projections_sql(key: str | None = None, confidence: str = "Moderate", methods=None, tag=False) -> str:
-    keys = [key] if key else []
-    methods = methods or ("linear", "polynomial", "exponential_smoothing")
-    k = "".join(f"{c}, " for c in keys)
-    sel = f"SELECT {('' if not tag else repr(confidence).replace(chr(39), chr(39)) + ' AS confidence, ')}{k}method, metric, year, value FROM proj"
-    return with_base(f"{yearly_cte(key)}, {positions_sql(keys, 'series')}, {fit_sql(keys, confidence, methods)} {sel}")
-
-
-def projection_confidence_sql() -> str:
-    parts = []
-    for c in CONF:
-        body = f"{yearly_cte()}, {positions_sql([], 'series')}, {fit_sql([], c)}"
-        parts.append(f"(WITH {BASE}, {body} SELECT '{c}' AS confidence, method, metric, year, value FROM proj)")
-    return " UNION ALL ".join(parts)
-
-
-def projections_by_title_sql() -> str:
-    return with_base(f"{title_positions_sql()}, {fit_sql(['row_id'])} SELECT row_id, method, metric, year, value FROM proj")
+  SELECT *, CAST(year - {MID} AS DOUBLE) AS x, row_number() OVER (PARTITION BY {ids} ORDER BY year) AS i FROM points),
+line AS (
+  SELECT {ids}, count(*) AS n, max(abs(v)) AS top, arg_max(v, year) AS y_last,
+         regr_slope(v, x) AS b, regr_intercept(v, x) AS a, regr_slope(x * x, x) AS qb, regr_intercept(x * x, x) AS qa
+  FROM ranked GROUP BY {ids} HAVING count(*) >= 2),
+bend AS (
+  SELECT {ids}, sum(q * v) / sum(q * q) AS c
+  FROM (SELECT *, x * x - qa - qb * x AS q FROM ranked JOIN line USING ({ids})) GROUP BY {ids}),
+smooth AS (
+  SELECT {ids}, i, v AS level FROM ranked WHERE i = 1
+  UNION ALL
+  SELECT {', '.join('r.' + c.strip() for c in ids.split(','))}, r.i, 0.3::DOUBLE * r.v + 0.7::DOUBLE * s.level
+  FROM smooth s JOIN ranked r ON r.i = s.i + 1 AND {on}),
+ends AS (
+  SELECT {ids}, max(CASE WHEN i = n THEN level END) AS s_n,
+         (max(CASE WHEN i = n THEN level END) - max(CASE WHEN i = greatest(n - 2, 1) THEN level END))
+           / CAST(max(least(n - 1, 2)) AS DOUBLE) AS trend
+  FROM smooth JOIN line USING ({ids}) GROUP BY {ids}),
+levels(confidence, m) AS (VALUES {', '.join(f"('{c}', {CONF[c]}::DOUBLE)" for c in levels)}),
+methods(method) AS (VALUES {', '.join(f"('{x}')" for x in labels)}),
+steps AS (SELECT CAST(range AS INTEGER) AS step, CAST(range + {L - MID} AS DOUBLE) AS x FROM range(1, {HORIZON + 1})),
+model AS (
+  SELECT *, y_last + (a + b * x + CASE WHEN method = 'Polynomial' AND n >= 3 THEN c * (x * x - qa - qb * x)
+                                       ELSE 0.0::DOUBLE END - y_last) * m AS scaled
+  FROM line JOIN bend USING ({ids}) JOIN ends USING ({ids}) CROSS JOIN levels CROSS JOIN methods CROSS JOIN steps),
+proj AS (
+  SELECT confidence, {k}method, metric, CAST({L} + step AS INTEGER) AS year,
+         floor((CASE WHEN top = 0 THEN 0.0::DOUBLE
+                     WHEN method = 'Exponential Smoothing' THEN greatest(0.0::DOUBLE, s_n + trend * m * step)
+                     WHEN metric = 'revenue_per_title' THEN scaled
+                     ELSE greatest(scaled, 0.0::DOUBLE) END) * 1024.0::DOUBLE + 0.5::DOUBLE) / 1024.0::DOUBLE AS value
+  FROM model)"""
+
+
+def projected(select: str, key: str | None = None, **kw) -> str:
+    k = f"{key}, " if key else ""
+    return f"WITH RECURSIVE {BASE}, {yearly_cte(key)}, {series_points(k)}, {proj_sql(k, **kw)} {select}"
+
+
+PROJ = "SELECT {k}method, metric, year, value FROM proj"
 
 
 # ------------------------------------------------------------------ the rest
@@ -384,37 +320,37 @@ UNION ALL SELECT 'Bottom 25%', q25, nb, sb / nb FROM a"""),
     "pubyear_performance": with_base(f"""x AS (SELECT 1) SELECT fiscal_year AS publication_year,
   {msum('sales')} AS total_sales_{L}, CAST(count(title_key) AS BIGINT) AS title_count
   FROM latest WHERE fiscal_year >= 2010 GROUP BY fiscal_year"""),
-    "projections_linear": projections_sql(methods=("linear",)),
-    "projections_polynomial": projections_sql(methods=("polynomial",)),
-    "projections_exponential": projections_sql(methods=("exponential_smoothing",)),
-    "projections_all": projections_sql(),
-    "projection_confidence": projection_confidence_sql(),
-    "projections_by_category": projections_sql("book_type"),
-    "projections_by_title": projections_by_title_sql(),
+    "projections_linear": projected(PROJ.format(k=""), labels=LABELS[:1]),
+    "projections_polynomial": projected(PROJ.format(k=""), labels=LABELS[1:2]),
+    "projections_exponential": projected(PROJ.format(k=""), labels=LABELS[2:]),
+    "projections_all": projected(PROJ.format(k="")),
+    "projection_confidence": projected(PROJ.format(k="confidence, "), levels=tuple(CONF)),
+    "projections_by_category": projected(PROJ.format(k="book_type, "), "book_type"),
+    "projections_by_title": f"WITH RECURSIVE {BASE}, {title_points()}, {proj_sql('row_id, ')} {PROJ.format(k='row_id, ')}",
+    "projection_summary": projected("SELECT year, " + ", ".join(
+        f"COALESCE('$' || format('{{:,.0f}}', max(CASE WHEN method = '{x}' THEN value END)), 'N/A') "
+        f"AS {x.lower().replace(' ', '_')}_sales" for x in LABELS) + f"""
+  FROM proj WHERE metric = 'total_sales' AND year IN ({', '.join(str(L + o) for o in (3, 5) if o <= HORIZON)}) GROUP BY year"""),
+    "projection_overlay": projected("""SELECT 'Historical Data' AS series, year, CAST(total_sales AS DOUBLE) AS value FROM series
+  UNION ALL SELECT method || ' Projection', year, value FROM proj WHERE metric = 'total_sales'"""),
+    # exports and their roles
+    "parse_number": """SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 4
+    WHEN 0 THEN CAST(l_extendedprice AS DOUBLE) WHEN 1 THEN trunc(CAST(l_quantity AS DOUBLE)) END AS number FROM lineitem""",
+    "type_names": """SELECT list_aggregate(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])),
+    'string_agg', ' ') AS type_name, CAST(count(*) AS BIGINT) AS title_count FROM part GROUP BY 1""",
+    "latest_by_role": with_base("""x AS (SELECT 1) SELECT title_key, sales AS series_sales, 2 * sales AS latest_sales FROM latest"""),
+    "validation_report": with_base("""x AS (SELECT 1)
+SELECT 'required_columns' AS "check", 'error' AS severity, NULL::VARCHAR AS "column", NULL::BIGINT AS n_bad, NULL::BIGINT AS n_rows
+UNION ALL SELECT 'quantity_columns', 'warn', NULL, NULL, NULL
+UNION ALL SELECT 'numeric_content', CASE WHEN n_bad > 0 THEN 'warn' ELSE 'ok' END, 'Net Sales $ ' || year, n_bad, n_rows FROM (
+  SELECT year, CAST(count_if((row_id + year) % 8 IN (5, 6)) AS BIGINT) AS n_bad, CAST(count(*) AS BIGINT) AS n_rows
+  FROM title_year GROUP BY year)"""),
+    "dataset_sink": with_base("x AS (SELECT 1) SELECT row_id, title_key, book_type, fiscal_year, sales FROM latest"),
+    "growth_text": with_base(f"""{yearly_cte()},
+g AS (SELECT year, (total_sales / NULLIF(lag(total_sales) OVER (ORDER BY year), 0.0::DOUBLE) - 1.0::DOUBLE) * 100.0::DOUBLE AS x FROM series)
+SELECT year, format('{{:+.1f}}%', round_even(x * 10.0::DOUBLE, 0) / 10.0::DOUBLE) AS growth_text FROM g"""),
 }
 
-
-def _summary_sql() -> str:
-    base = projections_sql()
-    body = base[len("WITH "):]
-    last_sel = body.rindex("SELECT method, metric, year, value FROM proj")
-    ctes = body[:last_sel]
-    targets = [L + o for o in (3, 5) if o <= HORIZON]
-    cols = ", ".join(
-        f"COALESCE('$' || format('{{:,.0f}}', max(CASE WHEN method = '{lab}' THEN value END)), 'N/A') AS {lab.lower().replace(' ', '_')}_sales"
-        for lab in ("Linear", "Polynomial", "Exponential Smoothing"))
-    return (f"WITH {ctes} SELECT year, {cols} FROM proj WHERE metric = 'total_sales' "
-            f"AND year IN ({', '.join(map(str, targets))}) GROUP BY year")
-
-
-def _overlay_sql() -> str:
-    base = projections_sql()
-    body = base[len("WITH "):]
-    last_sel = body.rindex("SELECT method, metric, year, value FROM proj")
-    ctes = body[:last_sel]
-    return (f"WITH {ctes} SELECT 'Historical Data' AS series, year, CAST(total_sales AS DOUBLE) AS value FROM series "
-            f"UNION ALL SELECT method || ' Projection', year, value FROM proj WHERE metric = 'total_sales'")
-
-
-ORACLE["projection_summary"] = _summary_sql()
-ORACLE["projection_overlay"] = _overlay_sql()
+for _name in ("loose_roles", "explicit_roles", "series_sink"):
+    ORACLE[_name] = ORACLE["yearly_summary"]
+ORACLE["yoy_growth_later_years"] = ORACLE["yoy_growth"] + " QUALIFY year > min(year) OVER ()"

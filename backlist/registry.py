@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backlist.functions.clean import null_words, parse_date, parse_money, parse_quantity
+from backlist.functions.clean import null_words, parse_date, parse_money, parse_number, parse_quantity
+from backlist.functions.fmt import pct_text, tidy_name
 from backlist.operators import category as cat
 from backlist.operators import projections as prj
 from backlist.operators import series as ser
@@ -20,8 +21,9 @@ from backlist.operators import titles as tit
 from backlist.plans.ordinal import with_file_ordinal
 from backlist.session import checkpoint_root, shared_dir
 from backlist.sources import csv_catalog as csvc
-from backlist.sources.catalog import Catalog
-from backlist.sources.roles import DIMENSIONS, ColumnRoles
+from backlist.sources import sinks
+from backlist.sources.catalog import Catalog, qty_col, sales_col
+from backlist.sources.roles import DIMENSIONS, ColumnRoles, detect_roles
 from backlist.sources.testdata import FIRST_YEAR, LAST_YEAR, tpch_catalog
 
 HORIZON = 5
@@ -55,9 +57,18 @@ def yearly(spark: SparkSession, d: str, keys=()) -> DataFrame:
     return ser.yearly_summary(catalog(spark, d), keys)
 
 
+# Forecasts are reported in steps of 2 ** -10: two ways of fitting differ in the
+# last bits, and decimal data over a few years never fall between two steps.
+GRID = 1024.0
+
+
+def _reported(projections: DataFrame) -> DataFrame:
+    return projections.withColumn("value", F.floor(F.col("value") * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID))
+
+
 def _project(spark, d, keys=(), **kw):
-    return prj.project(yearly(spark, d, keys), keys, years=YEARS, last_year=LAST_YEAR,
-                       horizon=HORIZON, **kw)
+    return _reported(prj.project(yearly(spark, d, keys), keys, years=YEARS, last_year=LAST_YEAR,
+                                 horizon=HORIZON, **kw))
 
 
 # ---------------------------------------------------------------- text renders
@@ -179,6 +190,87 @@ def q_ingest_catalog(spark, d):
     return cur.title_year(carry=["title_key"]).select("title_key", "year", "net_sales", "net_qty")
 
 
+def q_parse_number(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    v = (F.col("l_orderkey") + F.col("l_linenumber")) % 4
+    text = (F.when(v == 0, F.col("l_extendedprice").cast("string"))
+            .when(v == 1, F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" ")))
+            .when(v == 2, F.lit("N/A")).otherwise(F.lit("x1")))
+    return li.select("l_orderkey", "l_linenumber", parse_number(null_words(text)).alias("number"))
+
+
+def q_growth_text(spark, d):
+    growth = ser.yoy_growth(yearly(spark, d))
+    return growth.select("year", pct_text(F.col("sales_growth")).alias("growth_text"))
+
+
+def q_type_names(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    raw = F.lower(F.replace(F.col("p_type"), F.lit(" "), F.lit("_")))
+    return part.groupBy(tidy_name(raw).alias("type_name")).agg(F.count(F.lit(1)).alias("title_count"))
+
+
+def _numbered(titles: DataFrame, headers: dict[str, str], **roles) -> csvc.RawCatalog:
+    """A text catalog with the given headers, each over an expression of the
+    curated titles; ``roles`` are options of ``detect_roles``."""
+    names = list(headers)
+    text = titles.selectExpr("row_id", *[f"{e} AS _c{i}" for i, e in enumerate(headers.values())])
+    df = text.select("row_id", *[null_words(f"_c{i}").alias(f"_c{i}") for i in range(len(names))])
+    return csvc.RawCatalog(df, detect_roles(names, YEARS, **roles), "rendered")
+
+
+KEYS = {"WorkRef": "work_ref", "PubDate": "date_format(pub_date, 'yyyy-MM-dd')",
+        "FiscalYearOfPublication": "CAST(fiscal_year AS STRING)"}
+
+
+def _text(name: str) -> str:
+    return f"CAST(`{name}` AS STRING)"
+
+
+def q_loose_roles(spark, d):
+    """Yearly series of an export whose columns are found by loose key words."""
+    headers = KEYS | {f"Revenue {y}": _text(sales_col(y)) for y in YEARS} | {f"Copies {y}": _text(qty_col(y)) for y in YEARS}
+    return ser.yearly_summary(csvc.curate(_numbered(catalog(spark, d).titles, headers, mode="loose")))
+
+
+def q_explicit_roles(spark, d):
+    """The same of columns that are named one by one."""
+    money, number = ([f"{word} {y}" for y in YEARS] for word in ("Turnover", "Pieces"))
+    headers = KEYS | {c: _text(sales_col(y)) for c, y in zip(money, YEARS)} | {c: _text(qty_col(y)) for c, y in zip(number, YEARS)}
+    return ser.yearly_summary(csvc.curate(_numbered(catalog(spark, d).titles, headers, sales=money, quantity=number)))
+
+
+def q_latest_by_role(spark, d):
+    """Two sales columns of the last year: the series takes the first one, the
+    latest-year views the last name."""
+    headers = KEYS | {SALES_HEADER.format(y=y).strip('" '): _text(sales_col(y)) for y in YEARS}
+    headers |= {f"Net Sales $ {LAST_YEAR} restated": f"CAST(2 * {sales_col(LAST_YEAR)} AS STRING)"}
+    cur = csvc.curate(_numbered(catalog(spark, d).titles, headers))
+    return cur.titles.select("title_key", F.col(sales_col(LAST_YEAR)).alias("series_sales"), "latest_sales")
+
+
+def q_validation_report(spark, d):
+    """An export without its publication dates and quantity columns, and with
+    text that isn't money."""
+    headers = {k: v for k, v in KEYS.items() if k != "PubDate"}
+    headers |= {f"Net Sales $ {y}": money_render_sql(sales_col(y), f"(row_id + {y}) % 8", 4) for y in YEARS}
+    _, report = csvc.validate(_numbered(catalog(spark, d).titles, headers))
+    return report.select("check", "severity", "column", "n_bad", "n_rows")
+
+
+def q_series_sink(spark, d):
+    """The yearly series, written as one CSV file and read again."""
+    df = yearly(spark, d).orderBy("year")
+    return spark.read.schema(df.schema).option("header", "true").csv(
+        sinks.write_small_csv(df, shared_dir(spark, "series")))
+
+
+def q_dataset_sink(spark, d):
+    """The curated titles, written as a dataset and read again."""
+    cur = sinks.materialize(catalog(spark, d), shared_dir(spark, "titles"))
+    return cur.latest().select("row_id", "title_key", "book_type", "fiscal_year", "sales")
+
+
 # ---------------------------------------------------------------- registry
 
 def _dims(spark, d):
@@ -192,6 +284,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_money": q_parse_money,
     "parse_quantity": q_parse_quantity,
     "parse_dates": q_parse_dates,
+    "parse_number": q_parse_number,
+    "type_names": q_type_names,
+    "loose_roles": q_loose_roles,
+    "explicit_roles": q_explicit_roles,
+    "latest_by_role": q_latest_by_role,
+    "validation_report": q_validation_report,
+    "series_sink": q_series_sink,
+    "dataset_sink": q_dataset_sink,
     "title_key": q_title_key,
     "title_year": lambda s, d: catalog(s, d).title_year(),
     "preview": lambda s, d: tit.preview(catalog(s, d).titles),
@@ -199,6 +299,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "yearly_summary": lambda s, d: yearly(s, d),
     "yearly_by_category": lambda s, d: yearly(s, d, ["book_type"]),
     "yoy_growth": lambda s, d: ser.yoy_growth(yearly(s, d)),
+    "yoy_growth_later_years": lambda s, d: ser.yoy_growth(yearly(s, d), drop_first=True),
+    "growth_text": q_growth_text,
     "growth_insights": lambda s, d: ser.growth_insights(yearly(s, d)),
     "portfolio_kpis": lambda s, d: ser.portfolio_kpis(catalog(s, d), yearly(s, d)),
     "analysis_summary": lambda s, d: ser.analysis_summary(ser.portfolio_kpis(catalog(s, d), yearly(s, d))),
@@ -224,11 +326,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "projections_polynomial": lambda s, d: _project(s, d, methods=["polynomial"]),
     "projections_exponential": lambda s, d: _project(s, d, methods=["exponential_smoothing"]),
     "projections_all": lambda s, d: _project(s, d),
-    "projection_confidence": lambda s, d: prj.project_confidence_levels(
-        yearly(s, d), years=YEARS, last_year=LAST_YEAR, horizon=HORIZON),
+    "projection_confidence": lambda s, d: _reported(prj.project_confidence_levels(
+        yearly(s, d), years=YEARS, last_year=LAST_YEAR, horizon=HORIZON)),
     "projections_by_category": lambda s, d: _project(s, d, ["book_type"]),
-    "projections_by_title": lambda s, d: prj.project_titles(catalog(s, d), last_year=LAST_YEAR,
-                                                            horizon=HORIZON),
+    "projections_by_title": lambda s, d: _reported(prj.project_titles(catalog(s, d), last_year=LAST_YEAR,
+                                                                      horizon=HORIZON)),
     "projection_summary": lambda s, d: prj.projection_summary(_project(s, d), LAST_YEAR, HORIZON),
     "projection_overlay": lambda s, d: prj.projection_overlay(yearly(s, d), _project(s, d)),
 }

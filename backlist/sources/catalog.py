@@ -33,13 +33,16 @@ class Catalog:
     """``titles`` columns: ``row_id`` (BIGINT, row ordinal), ``title_key``,
     the present category dimensions (snake_case STRING), ``imprint``,
     ``pub_date`` DATE, ``fiscal_year`` INT, ``sales_<y>`` / ``qty_<y>``
-    DOUBLE for every series year, and ``latest_sales`` DOUBLE."""
+    DOUBLE for every series year, and ``latest_sales`` DOUBLE.  ``facts``, where
+    the source has them, are the sparse ``row_id, year, net_sales, net_qty``
+    rows that the wide ones were made of."""
 
     titles: DataFrame
     years: tuple[int, ...]
     latest_year: int | None
     dims: tuple[str, ...] = field(default=tuple(s for _, s in DIMENSIONS))
     warnings: tuple[str, ...] = ()
+    facts: DataFrame | None = None
 
     def has(self, column: str) -> bool:
         return column in self.titles.columns

@@ -9,6 +9,7 @@ its line items per ship year.  Mapping (see FIXTURES.md, F4):
   sum(decimal(18,2) price * decimal(4,2) (1 - discount)).
 
 Titles are densified: parts without line items in a year sell nothing then.
+Line items refer to parts, so the portfolio's series needs no join with them.
 """
 
 from __future__ import annotations
@@ -108,4 +109,4 @@ def tpch_catalog(spark: SparkSession, sf_dir: str, first_year: int = FIRST_YEAR,
     latest = F.coalesce(F.col(sales_col(last_year)), F.lit(0.0)) if last_year in years else F.lit(None)
     titles = joined.select(*dims.columns, *measures, latest.cast("double").alias("latest_sales"))
     return Catalog(titles, years, last_year if last_year in years else max(years),
-                   tuple(s for _, s in DIMENSIONS))
+                   tuple(s for _, s in DIMENSIONS), facts=facts)

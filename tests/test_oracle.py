@@ -8,14 +8,11 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-TABLES = ["part", "lineitem"]
-
-
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    for name in os.listdir(SF001):
+        c.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF001}/{name}')")
     return c
 
 

@@ -32,25 +32,13 @@ SALES_HEADER = '" Net Sales $ \n{y} "'
 QTY_HEADER = '" Net Sales Q\n{y} "'
 
 
-def _memo(spark: SparkSession, key: tuple, build):
-    """One lazy catalog plan per session and input (plans are immutable; this
-    saves re-building the client-side plan, no data is cached)."""
-    try:
-        memo = spark.__dict__.setdefault("_backlist_plans", {})
-    except AttributeError:          # a session type without instance attributes
-        return build()
-    if key not in memo:
-        memo[key] = build()
-    return memo[key]
-
-
 def catalog(spark: SparkSession, d: str) -> Catalog:
-    return _memo(spark, ("catalog", d), lambda: tpch_catalog(spark, d))
+    return tpch_catalog(spark, d)
 
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
     """Per-title latest-year rows; only the latest year's line items are read."""
-    return _memo(spark, ("latest", d), lambda: tpch_catalog(spark, d, years=[LAST_YEAR]).latest())
+    return tpch_catalog(spark, d, years=[LAST_YEAR]).latest()
 
 
 def yearly(spark: SparkSession, d: str, keys=()) -> DataFrame:
@@ -84,23 +72,11 @@ def money_render_sql(value: str, variant: str, decimals: int = 2) -> str:
             f"ELSE concat('(', CAST({value} AS STRING), ')') END")
 
 
-def money_render(value: F.Column, variant: F.Column, decimals: int = 2) -> F.Column:
-    txt = F.format_number(value, decimals)
-    return (F.when(variant == 0, F.concat(F.lit("$"), txt))
-            .when(variant == 1, F.concat(F.lit(" "), txt, F.lit(" ")))
-            .when(variant == 2, F.concat(F.lit("$ ("), txt, F.lit(") ")))
-            .when(variant == 3, value.cast("string"))
-            .when(variant == 4, F.lit("N/A"))
-            .when(variant == 5, F.lit("-"))
-            .when(variant == 6, F.lit("abc"))
-            .otherwise(F.concat(F.lit("("), value.cast("string"), F.lit(")"))))
-
-
 def q_parse_money(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    v = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
-    text = money_render(F.col("l_extendedprice"), v)
-    return li.select("l_orderkey", "l_linenumber", v.alias("variant"),
+    v = "(l_orderkey + l_linenumber) % 8"
+    text = F.expr(money_render_sql("l_extendedprice", v))
+    return li.select("l_orderkey", "l_linenumber", F.expr(v).alias("variant"),
                      parse_money(null_words(text)).alias("amount"))
 
 

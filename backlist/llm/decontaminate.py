@@ -1,22 +1,20 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
-A mask picks ``WEIGHT`` of ``SPAN`` consecutive words and ignores the others,
-so a passage with substituted words still shares a seed wherever the
-substitutions fall on ignored places of one of the masks.  Seeds are taken at
-every word of an item and at every ``STRIDE``-th word of a document: a copy
-of at least ``SPAN + STRIDE - 1`` words always covers a document seed.  Items'
+A document is contaminated where at least ``SHARE`` of ``WINDOW`` consecutive
+places of an item agree with its words.  A mask picks some of ``SPAN``
+consecutive words and ignores the others.  Seeds are taken at every word of
+items and documents; the mask is lossless: wherever two of 13 words are
+substituted, which is all that the share allows, it fits beside them at one
+place at least, so every overlap that the rule accepts shares a seed.  Items'
 and documents' seeds are joined; around each hit, item and document words are
-compared place by place, and the document is contaminated where at least
-``SHARE`` of ``WINDOW`` consecutive places agree (of the whole item, if it is
-shorter).
+compared place by place.
 
 Only the benchmark's seeds are broadcast, and only after they were counted
 (``BROADCAST_SEEDS``); a larger benchmark is joined by shuffle with the same
 result.
 
 Defined cases: words are runs without ASCII white space, in lower case; null
-texts have none; items with fewer than ``SPAN + STRIDE - 1`` words are too
-short as evidence and are not searched; items of equal words count as one and
+texts have none; items with fewer than ``WINDOW`` words are not searched; items of equal words count as one and
 report their smallest id; repeated rows and rows without doc_id are judged
 row by row; columns of any other name pass through untouched.
 """
@@ -26,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 10
-MASKS = ("1101100101", "1010011011", "1110010110")  # fixed values; each picks six places
-STRIDE = 4
+SPAN = 8
+MASKS = ("11010011",)  # no mask of more places is lossless alone
+STRIDE = 1
 WINDOW = 13
 SHARE = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -65,7 +63,7 @@ def _seed_rows(df: DataFrame, keys: list[str], stride: int) -> DataFrame:
 def items_of(benchmark: DataFrame) -> DataFrame:
     """``(item_id, words)``: one row per distinct item that is long enough."""
     each = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words"))
-    return each.where(F.size("words") >= SPAN + STRIDE - 1).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    return each.where(F.size("words") >= WINDOW).groupBy("words").agg(F.min("item_id").alias("item_id"))
 
 
 def _agreement(doc: Column, item: Column, shift: Column) -> Column:

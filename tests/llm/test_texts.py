@@ -224,6 +224,22 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs):
     assert decontaminate.keep_clean(odd_docs, bench.limit(0)).count() == len(odd_rows)
 
 
+def test_decontamination_finds_every_substitution(spark):
+    """All overlaps of 13 words and more that the rule accepts, at any place."""
+    rng = random.Random(11)
+    items = [(k, text(rng, n)) for k, n in enumerate((13, 13, 15, 20, 26))]
+    docs = []
+    for k in range(400):
+        words = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(words)), rng.randint(1, len(words) // 5)):
+            words[at] = "zzz"
+        docs.append((k, f"{text(rng, rng.randint(0, 9))} {' '.join(words)} {text(rng, rng.randint(0, 9))}"))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 200
+
+
 def test_decontamination_without_broadcast(spark, odd_docs, monkeypatch):
     bench = spark.createDataFrame([(1, text(random.Random(3), 40))], "item_id long, text string")
     want = decontaminate.contaminated(odd_docs, bench).collect()

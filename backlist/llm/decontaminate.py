@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
 A document is contaminated where at least ``SHARE`` of ``WINDOW`` consecutive
-places of an item agree with its words.  A mask picks some of ``SPAN``
-consecutive words and ignores the others.  Seeds are taken at every word of
-items and documents; the mask is lossless: wherever two of 13 words are
-substituted, which is all that the share allows, it fits beside them at one
-place at least, so every overlap that the rule accepts shares a seed.  Items'
-and documents' seeds are joined; around each hit, item and document words are
+places of an item agree with its words (of the whole item, if it is shorter).
+A mask picks some of a few consecutive words and ignores the others.  Seeds are
+taken at every word of items and documents; the masks are lossless: wherever as
+many words are substituted as the share allows (two of 13), one of them fits
+beside these, so every overlap that the rule accepts shares a seed.  Shorter
+items have masks of their own, which documents are read with only if the
+benchmark has such items.  Items' and documents' seeds are joined; around each hit, item and document words are
 compared place by place.
 
 Only the benchmark's seeds are broadcast, and only after they were counted
@@ -14,7 +15,8 @@ Only the benchmark's seeds are broadcast, and only after they were counted
 result.
 
 Defined cases: words are runs without ASCII white space, in lower case; null
-texts have none; items with fewer than ``WINDOW`` words are not searched; items of equal words count as one and
+texts have none; items of any length are searched
+(up to four words as they stand), those without words are not; items of equal words count as one and
 report their smallest id; repeated rows and rows without doc_id are judged
 row by row; columns of any other name pass through untouched.
 """
@@ -24,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 8
-MASKS = ("11010011",)  # no mask of more places is lossless alone
+SPAN = 8  # of the mask for items of WINDOW words and more
 STRIDE = 1
+# By least(WINDOW, words of the item): masks of which one fits beside any
+# substitutions that the share allows.
+MASKS = {13: ("11010011",), 12: ("11101",), 11: ("11101",), 10: ("11101", "1111"), 9: ("1111",), 8: ("1111",),
+         7: ("111",), 6: ("111",), 5: ("11",), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
 WINDOW = 13
 SHARE = 0.8
 BROADCAST_SEEDS = 1_000_000
@@ -38,32 +43,44 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
 
 
-def seeds(hashes: Column, stride: int) -> Column:
-    """``array<struct<pos, s0, s1, ...>>``: every mask's seed at every
-    ``stride``-th place."""
-    last = F.size(hashes) - SPAN
-    places = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))) \
-        .otherwise(F.array().cast("array<int>"))
+def seeds(hashes: Column, masks: dict[str, Column]) -> Column:
+    """``array<struct<pos, seed>>``: the seed at every place, of every mask
+    whose condition holds."""
+    none = F.array().cast("array<struct<pos:int,seed:bigint>>")
 
-    def at(i):
-        return F.struct(i.alias("pos"), *[
-            F.xxhash64(F.lit(m), *[F.get(hashes, i + k) for k in range(SPAN) if mask[k] == "1"]).alias(f"s{m}")
-            for m, mask in enumerate(MASKS)])
+    def of(mask, condition):
+        last = F.size(hashes) - len(mask)
+        places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(STRIDE))
+        each = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(
+            F.lit(mask), *[F.get(hashes, i + k) for k in range(len(mask)) if mask[k] == "1"]).alias("seed")))
+        return F.when(condition & (last >= 0), each).otherwise(none)
 
-    return F.transform(places, at)
+    return F.concat(*[of(*m) for m in masks.items()]) if len(masks) > 1 else of(*[*masks.items()][0])
 
 
-def _seed_rows(df: DataFrame, keys: list[str], stride: int) -> DataFrame:
+def _seed_rows(df: DataFrame, keys: list[str], masks: dict[str, Column]) -> DataFrame:
     """``keys, pos, seed``: one row per place and mask; df has ``words``."""
     hashed = df.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    one = hashed.select(*keys, F.explode(seeds(F.col("h"), stride)).alias("s")).select(*keys, "s.*")
-    return one.select(*keys, "pos", F.explode(F.array(*[F.col(f"s{m}") for m in range(len(MASKS))])).alias("seed"))
+    # in the generator itself: a filter on an array column of its own would be
+    # pushed below and hash all words again at every place
+    one = hashed.select(*keys, F.explode(seeds(F.col("h"), masks)).alias("s"))
+    return one.select(*keys, "s.pos", "s.seed")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, words)``: one row per distinct item that is long enough."""
+    """``(item_id, words)``: one row per distinct item that has words."""
     each = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words"))
-    return each.where(F.size("words") >= WINDOW).groupBy("words").agg(F.min("item_id").alias("item_id"))
+    return each.where(F.size("words") > 0).groupBy("words").agg(F.min("item_id").alias("item_id"))
+
+
+def _item_seeds(items: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``(item_id, item_pos, seed)`` and the masks in use."""
+    size = F.least(F.size("words"), F.lit(WINDOW))
+    sizes = {r[0] for r in items.select(size).distinct().collect()} or {WINDOW}
+    masks = sorted({m for n in sizes for m in MASKS[n]})
+    of_size = F.least(F.size("h"), F.lit(WINDOW))
+    out = _seed_rows(items, ["item_id"], {m: of_size.isin([n for n in MASKS if m in MASKS[n]]) for m in masks})
+    return out.withColumnRenamed("pos", "item_pos"), masks
 
 
 def _agreement(doc: Column, item: Column, shift: Column) -> Column:
@@ -95,13 +112,13 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     overlaps, ``array<struct<item_id, start, item_words, matched>>``."""
     spark = docs.sparkSession
     items = items_of(benchmark)
-    item_seeds = _seed_rows(items, ["item_id", "words"], 1)
+    item_seeds, masks = _item_seeds(items)
     n = item_seeds.count()
-    item_seeds = item_seeds.select("item_id", F.col("pos").alias("item_pos"), "seed").distinct()
+    item_seeds = item_seeds.distinct()
     if n <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), words(F.col("text")).alias("words"))
-    hits = (_seed_rows(texts, ["id"], STRIDE).join(item_seeds, "seed")
+    hits = (_seed_rows(texts, ["id"], {m: F.lit(True) for m in masks}).join(item_seeds, "seed")
             .select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     found = (hits.join(items, "item_id").groupBy("id")
              .agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("candidates")))

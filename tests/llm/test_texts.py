@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -240,6 +241,29 @@ def test_decontamination_finds_every_substitution(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 200
 
 
+def test_decontamination_masks_fit_beside_all_substitutions():
+    for n, masks in decontaminate.MASKS.items():
+        for gone in combinations(range(n), n - -(-n * 8 // 10)):
+            assert any(all(at + k not in gone for k, c in enumerate(m) if c == "1")
+                       for m in masks for at in range(n - len(m) + 1)), (n, gone)
+
+
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(12)
+    items = [(n, " ".join(f"q{n}w{k}" for k in range(n))) for n in range(1, 14)]
+    docs = []
+    for n, t in items:
+        for k in range(8):
+            words = t.split()
+            for at in rng.sample(range(n), min(n, k % 4)):
+                words[at] = "zzz"
+            docs.append((100 * n + k, f"{text(rng, k)} {' '.join(words)} {text(rng, 6)}"))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string"))
+    want = {(i, i // 100) for i, _ in docs if i % 4 <= i // 100 - -(-(i // 100) * 8 // 10)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_decontamination_without_broadcast(spark, odd_docs, monkeypatch):
     bench = spark.createDataFrame([(1, text(random.Random(3), 40))], "item_id long, text string")
     want = decontaminate.contaminated(odd_docs, bench).collect()

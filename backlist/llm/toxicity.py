@@ -1,20 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 At most ``LABELLED_ROWS`` labelled documents (both classes evenly, ids that
-hash lowest) are the examples.  Their vocabulary is the terms whose
-chi-square against the label is significant after Bonferroni's correction and
-that stand in ``SUPPORT`` of a class's examples, at most ``TERMS`` of them; inverse document frequencies of these terms are
-counted over all documents.  The examples' postings are an inverted index in
-blocks of ``BLOCK`` examples with each term's largest weight per block: a
-search visits blocks by falling upper bound and stops when no block can reach
-the k-th best similarity, so it finds exactly the k nearest (ties to the
-smaller doc_id).  Their votes, weighted by similarity, give a raw score;
-Platt's sigmoid, fitted on left-out votes of the examples with the classes'
-true shares, calibrates it.  The neighbours are returned as evidence.
-
-Defined cases: a text without any vocabulary term (null and empty ones too)
-has no neighbours, and its score is the calibrated share of toxic ones among
-such examples; without labelled rows of both classes every score is the
+hash lowest) are the examples.  They are indexed over all their terms, with
+inverse document frequencies counted over all documents; a document's terms
+that no example has are left out of its vector.  Postings stand in blocks with
+each term's largest weight per block: a search visits blocks by falling upper
+bound and stops when no block can reach the k-th best similarity, so it finds
+exactly the k nearest (ties to the smaller doc_id).  Over all terms there is
+one block, as common terms leave nothing to skip.  The neighbours are returned
+as evidence.
+
+The score has two votes, weighted by similarity: of these neighbours, and of
+the nearest under the chosen terms alone, whose chi-square against the label is
+significant after Bonferroni's correction and that stand in ``SUPPORT`` of a
+class's examples, at most ``TERMS`` of them.  A logistic curve, fitted on
+left-out votes of the examples with the classes' true shares, calibrates them.
+
+Defined cases: a text without any term of the examples (null and empty ones
+too) has no neighbours and a vote of 0; without labelled rows of both classes every score is the
 labelled share of toxic rows (0 without any); repeated rows are scored row by
 row; contradicting labels of a doc_id count as toxic; other columns are
 ignored.
@@ -68,21 +71,36 @@ class Index:
     """Block-max inverted index of the examples' TF-IDF vectors."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray,
-                 example: np.ndarray, term: np.ndarray, tf: np.ndarray, prior: float) -> None:
+                 example: np.ndarray, term: np.ndarray, tf: np.ndarray, block: int = BLOCK) -> None:
         self.terms, self.idf, self.ids, self.toxic = terms, idf, ids, toxic
         w = (1 + np.log(tf)) * idf[term]
         norm = np.sqrt(np.bincount(example, w * w, len(ids)))
         w = w / norm[example]
         order = np.lexsort((example, term))
-        rows = example, term, w
-        self.example, term, self.w = (v[order] for v in rows)
-        self.n_blocks = -(-len(ids) // BLOCK)
-        block = self.example // BLOCK
+        self.example, term, self.w = example[order], term[order], w[order]
+        self.n_blocks = -(-len(ids) // block)
+        block = self.example // block
         self.begin = np.searchsorted(term * (self.n_blocks + 1) + block,
-                                     np.arange(len(terms) * (self.n_blocks + 1) + 1)).reshape(-1)
+                                     np.arange(len(terms) * (self.n_blocks + 1) + 1)).astype(np.int32)
         self.top = np.zeros((len(terms), self.n_blocks))
         np.maximum.at(self.top, (term, block), self.w)
-        self._calibrate(prior, *rows)
+        self.known = None
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each term, -1 where the index hasn't it."""
+        if self.known is None:
+            self.known = HashIndex(1 << max(14, (2 * len(self.terms)).bit_length()))
+            self.known.add(self.terms)
+        return self.known.find(hashes)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
+
+    def queries(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(terms, counts, begin of each document)`` of n documents."""
+        k = self.find(hashes)
+        pair, tf = np.unique(doc[k >= 0] * len(self.terms) + k[k >= 0], return_counts=True)
+        return pair % len(self.terms), tf, np.searchsorted(pair, np.arange(n + 1) * len(self.terms))
 
     def vector(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[term]
@@ -108,9 +126,12 @@ class Index:
             p = np.repeat(lo.ravel() - total + size, size) + np.arange(total[-1])
             e = self.example[p]
             part = self.w[p] * np.repeat(np.repeat(w, len(some)), size)
-            each, where = np.unique(e, return_inverse=True)
-            s = np.bincount(where, part)
+            s = np.bincount(e, part, len(self.ids))
+            each = np.flatnonzero(s)
+            s = s[each]
             keep = each != but
+            if len(s) > 4 * k:  # all that the k best can be among, ties too
+                keep &= s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
             best, sim = np.concatenate([best, each[keep]]), np.concatenate([sim, s[keep]])
             rank = np.lexsort((best, -sim))[:k]
             best, sim = best[rank], sim[rank]
@@ -118,43 +139,65 @@ class Index:
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
         """Share of toxic ones among the neighbours, by similarity, in -1..1."""
-        return float((sim * (2.0 * self.toxic[best] - 1)).sum() / sim.sum())
-
-    def _calibrate(self, prior: float, example: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
-        x, y, none = [], [], np.zeros(2)
-        order = np.argsort(example, kind="stable")
-        cut = np.searchsorted(example[order], np.arange(len(self.ids) + 1))
-        for e in range(len(self.ids)):  # each example's left-out vote
-            own = order[cut[e]:cut[e + 1]]
-            best = self.nearest(term[own], w[own], NEIGHBOURS, e) if len(own) else ([], [])
-            if len(best[0]):
-                x.append(self.vote(*best))
-                y.append(bool(self.toxic[e]))
-            else:
-                none[int(self.toxic[e])] += 1
-        n = np.array([(~self.toxic).sum(), self.toxic.sum()], dtype=float)
-        cost = np.array([1 - prior, prior]) / np.maximum(n, 1)  # undoes the even draw of the classes
-        self.alone = float((none[1] + 0.5) * cost[1] / ((none + 0.5) * cost).sum())
-        x, y = np.array(x), np.array(y, dtype=float)
-        weight = np.where(y > 0, cost[1], cost[0])
-        self.a, self.b = 4.0, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-        if len(x):
-            weight = weight / weight.sum()
-            for _ in range(200):  # Newton's steps with a small ridge
-                p = 1 / (1 + np.exp(-(self.a * x + self.b)))
-                g = np.array([(weight * (p - y) * x).sum() + 1e-3 * self.a, (weight * (p - y)).sum() + 1e-3 * self.b])
-                r = weight * p * (1 - p)
-                h = np.array([[(r * x * x).sum() + 1e-3, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]])
-                self.a, self.b = np.array([self.a, self.b]) - np.linalg.solve(h, g)
-
-    def score(self, best: np.ndarray, sim: np.ndarray) -> float:
-        if not len(best):
-            return self.alone
-        return float(1 / (1 + math.exp(-(self.a * self.vote(best, sim) + self.b))))
+        return float((sim * (2.0 * self.toxic[best] - 1)).sum() / sim.sum()) if len(best) else 0.0
+
+
+class Model:
+    """The index over all terms, the one over the chosen terms (or None), and
+    the calibration of their votes."""
+
+    def __init__(self, index: Index, chosen: Index | None, sets: list[np.ndarray], counts: list[np.ndarray],
+                 prior: float) -> None:
+        self.index, self.chosen = index, chosen
+        toxic = index.toxic
+        x = []
+        for e, (h, n) in enumerate(zip(sets, counts)):  # each example's left-out votes
+            x.append(self.features(*(self.search(i, h, n, e) if i else None for i in (index, chosen))))
+        x, y = np.array(x), toxic.astype(float)
+        size = np.array([(~toxic).sum(), toxic.sum()], dtype=float)
+        cost = np.array([1 - prior, prior]) / np.maximum(size, 1)  # undoes the even draw of the classes
+        weight = np.where(toxic, cost[1], cost[0])
+        weight = weight / weight.sum()
+
+        def loss(a: np.ndarray) -> float:
+            z = x @ a
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * (a @ a))
+
+        self.a = np.zeros(x.shape[1])
+        for _ in range(200):  # Newton's steps with a small ridge, shortened until they gain
+            p = 1 / (1 + np.exp(-(x @ self.a)))
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(self.a))
+            step = np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-3 * self.a)
+            while loss(self.a - step) > loss(self.a) and abs(step).max() > 1e-9:
+                step = step / 2
+            if abs(step).max() <= 1e-9:
+                break
+            self.a = self.a - step
+
+    @staticmethod
+    def search(index: Index, hashes: np.ndarray, tf: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        k = index.find(hashes)
+        if not (k >= 0).any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        term = k[k >= 0].astype(np.int64)
+        return index.nearest(term, index.vector(term, tf[k >= 0]), NEIGHBOURS, but)
+
+    def features(self, near: tuple, told: tuple | None) -> list[float]:
+        told = told or ((), ())
+        return [1.0, self.index.vote(*near), self.index.vote(*told), float(len(told[0]) > 0)]
+
+    def score(self, near: tuple, told: tuple | None) -> float:
+        return float(1 / (1 + math.exp(-float(np.dot(self.features(near, told), self.a)))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Index | float:
-    """The index over the labelled documents that ``learn_from`` admits, or
+    """The whole-vocabulary index of ``learn``'s model."""
+    model = learn(docs, labels, learn_from)
+    return model.index if isinstance(model, Model) else model
+
+
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model | float:
+    """The model over the labelled documents that ``learn_from`` admits, or
     the toxic share where a class is missing."""
     judged = (labels.where(learn_from & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
               .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")))
@@ -182,25 +225,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Index | float
         return bad / seen
     sets = [np.frombuffer(bytes(r["h"]), dtype=np.uint64) for r in rows]
     toxic = np.array([r["toxic"] == 1 for r in rows])
-    terms = _chosen(sets, toxic)
+    counts = [np.frombuffer(bytes(r["n"]), dtype=np.int32) for r in rows]
+    terms = np.unique(np.concatenate(sets))
     if not len(terms):
         return bad / seen
     idf = _idf(docs, terms)
-    known = HashIndex(1 << 14)
-    known.add(terms)
-    k = [known.find(s) for s in sets]
-    hit = [np.flatnonzero(x >= 0) for x in k]
-    example = np.repeat(np.arange(len(rows)), [len(h) for h in hit])
-    term = np.concatenate([x[h] for x, h in zip(k, hit)]).astype(np.int64)
-    tf = np.concatenate([np.frombuffer(bytes(r["n"]), dtype=np.int32)[h] for r, h in zip(rows, hit)])
-    return Index(terms, idf, np.array([r["id"] for r in rows]), toxic, example, term, tf, bad / seen)
+    ids = np.array([r["id"] for r in rows])
+
+    def indexed(some: np.ndarray, block: int) -> Index:
+        own = np.argsort(some)
+        place = np.full(len(terms), -1)
+        place[np.searchsorted(terms, some[own])] = own
+        k = place[np.searchsorted(terms, np.concatenate(sets))]
+        example = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
+        return Index(some, idf[np.searchsorted(terms, some)], ids, toxic, example[k >= 0], k[k >= 0],
+                     np.concatenate(counts)[k >= 0], block)
+
+    chosen = _chosen(sets, toxic)
+    return Model(indexed(terms, LABELLED_ROWS), indexed(chosen, BLOCK) if len(chosen) else None, sets, counts, bad / seen)
 
 
 def _idf(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     """Inverse document frequencies over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, n = HashIndex(1 << 14), np.zeros(len(terms), dtype=np.int64), 0
+        known, df, n = HashIndex(1 << max(14, (2 * len(terms)).bit_length())), np.zeros(len(terms), dtype=np.int64), 0
         known.add(terms)
         for b in blocks(batches):
             h, doc = term_counts(encoded(b.column(0)))
@@ -208,43 +257,44 @@ def _idf(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
             pair = np.unique(doc[k >= 0] * len(terms) + k[k >= 0])
             df += np.bincount(pair % len(terms), minlength=len(terms))
             n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.append(n, df))], ["term", "n"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(n, df[at]))], ["term", "n"])
 
     n = np.zeros(len(terms) + 1)
     for r in map_arrow(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        n[r["term"] + 1] = r["n"]  # one row per term
+        n[r["term"] + 1] = r["n"]  # one row per term of the examples
     return np.log((1 + n[0]) / (1 + n[1:])) + 1
 
 
-def score(docs: DataFrame, model: Index | float) -> DataFrame:
+def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """``(doc_id, score, predicted, evidence)`` of every row; evidence lists
     the neighbours' ``(doc_id, similarity, toxic)``, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = HashIndex(1 << 14)
-        if isinstance(model, Index):
-            known.add(model.terms)
         for b in blocks(batches):
-            out, why = [], []
-            if isinstance(model, Index):
+            n, none = b.num_rows, (np.zeros(0, np.int64), np.zeros(0))
+            out, near = [model] * n, [none] * n
+            if isinstance(model, Model):
                 h, doc = term_counts(encoded(b.column(1)))
-                k = known.find(h)
-                pair, tf = np.unique(doc[k >= 0] * len(model.terms) + k[k >= 0], return_counts=True)
-                cut = np.searchsorted(pair, np.arange(b.num_rows + 1) * len(model.terms))
-                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    best = (np.zeros(0, np.int64), np.zeros(0))
-                    if j > i:
-                        term = pair[i:j] % len(model.terms)
-                        best = model.nearest(term, model.vector(term, tf[i:j]), NEIGHBOURS)
-                    out.append(model.score(*best))
-                    why.append([{"doc_id": int(model.ids[e]), "similarity": float(s), "toxic": bool(model.toxic[e])}
-                                for e, s in zip(*best)])
-            else:
-                out, why = [model] * b.num_rows, [[]] * b.num_rows
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.bool_())]))
+                found = []
+                for index in (model.index, model.chosen):
+                    found.append([none] * n)
+                    if index:
+                        term, tf, cut = index.queries(h, doc, n)
+                        for d, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                            if j > i:
+                                found[-1][d] = index.nearest(term[i:j], index.vector(term[i:j], tf[i:j]), NEIGHBOURS)
+                near = found[0]
+                out = [model.score(*x) for x in zip(*found)]
+            best, sim = np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])
+            ids, toxic = (model.index.ids, model.index.toxic) if isinstance(model, Model) else (best, best > 0)
+            why = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0] + [len(x) for x, _ in near]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(ids[best], pa.int64()), pa.array(sim), pa.array(toxic[best])],
+                                           ["doc_id", "similarity", "toxic"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32()),
-                 pa.array(why, kind)], ["doc_id", "score", "predicted", "evidence"])
+                [b.column(0), pa.array(out, pa.float64()), pa.array([int(s >= THRESHOLD) for s in out], pa.int32()), why],
+                ["doc_id", "score", "predicted", "evidence"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run,
                      "doc_id long, score double, predicted int, "
@@ -260,5 +310,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted, evidence)``: learns from labels
     whose doc_id's remainder by 4 isn't 2, scores all documents."""
     held = F.coalesce(remainder(4) == 2, F.lit(False))
-    model = fit(docs, labels, ~held)
+    model = learn(docs, labels, ~held)
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")

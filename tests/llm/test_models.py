@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +89,26 @@ def test_nearest_examples_are_exact(spark):
         assert np.allclose(np.sort(s)[::-1][:len(sim)], sim) and (len(sim) == 15 or (np.sort(s)[::-1][len(sim):] < 1e-12).all())
 
 
+def test_toxicity_evidence_is_over_the_whole_vocabulary(spark):
+    """Every document with words has the neighbours that plain TF-IDF cosine has."""
+    docs, labels = toxic_docs(spark)
+    got = toxicity.toxicity(docs, labels).collect()
+    texts = {r.doc_id: r.text.lower().replace(",", " , ").split() for r in docs.collect()}
+    examples = [i for i in texts if not held(i, 4, 2)]
+    df = Counter(w for t in texts.values() for w in set(t))
+    words = sorted({w for i in examples for w in texts[i]})
+    idf = np.log((1 + len(texts)) / (1 + np.array([df[w] for w in words]))) + 1
+    v = {}
+    for i, t in texts.items():
+        n = Counter(t)
+        x = np.array([1 + np.log(n[w]) if n[w] else 0.0 for w in words]) * idf
+        v[i] = x / np.linalg.norm(x)
+    for r in got:
+        sims = np.sort([v[r.doc_id] @ v[e] for e in examples])[::-1][:15]
+        assert np.allclose([x.similarity for x in r.evidence], sims)
+        assert all(abs(x.similarity - v[r.doc_id] @ v[x.doc_id]) < 1e-9 for x in r.evidence)
+
+
 def test_toxicity_odd_rows(odd_docs, odd_rows, labels, no_docs, no_labels):
     assert toxicity.toxicity(odd_docs, labels).count() == len(odd_rows)
     assert {r.score for r in toxicity.toxicity(odd_docs, no_labels).collect()} == {0.0}

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backlist.llm import (decontaminate, forest, langid, packing, quality, simhash, substring, toxicity, warc,
-                          wordpiece)
+from backlist.llm import (decontaminate, forest, langid, negatives, packing, quality, simhash, substring, suffixes,
+                          toxicity, warc, whitening, wordpiece)
 from backlist.llm.common import table
 
 # Parameters that the contracts fix.
@@ -60,9 +60,23 @@ def op10_ann_forest(spark: SparkSession, d: str) -> DataFrame:
     return forest.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.digests(table(spark, d, "documents"))
+
+
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.labelled(table(spark, d, "embeddings").withColumn("label", label))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_simhash, op6_token_counts,
-    op7_language_id, op8_warc, op9_quality, op10_ann_forest)}
+    op7_language_id, op8_warc, op9_quality, op10_ann_forest, op11_suffix_dedup, op12_whitening, op13_hard_negatives)}
 
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": r"""
@@ -93,4 +107,49 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> response THEN response END AS refers_to
 FROM q""",
+    "op11_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+n AS (SELECT doc_id, hx, strlen(hx) // 2 AS nb FROM d),
+p AS (SELECT doc_id, nb, o, substr(hx, 2 * o + 1, 2198) AS s FROM (SELECT *, unnest(range(0, nb, 1000)) AS o FROM n)),
+w AS (
+  SELECT doc_id, o + k AS pos, md5(substr(s, 2 * k + 1, 200)) AS h
+  FROM (SELECT *, unnest(range(1000)) AS k FROM p) WHERE o + k + 100 <= nb),
+hit AS (SELECT doc_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) > 1),
+edge AS (
+  SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM edge),
+span AS (SELECT doc_id, min(pos) AS lo, max(pos) + 100 AS hi FROM run GROUP BY doc_id, g),
+spans AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his
+  FROM span GROUP BY doc_id),
+kept AS (
+  SELECT n.doc_id, nb, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    array_to_string(list_transform(range(1, coalesce(n_spans, 0) + 2), lambda i: substr(hx,
+      CAST(2 * list_extract(list_concat([0], coalesce(his, [])), i) + 1 AS BIGINT),
+      CAST(2 * (list_extract(list_concat(coalesce(los, []), [nb]), i) - list_extract(list_concat([0], coalesce(his, [])), i)) AS BIGINT))),
+      '') AS rest
+  FROM n LEFT JOIN spans ON n.doc_id = spans.doc_id)
+SELECT doc_id, CAST(nb AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(rest)) AS kept_sha256
+FROM kept""",
+    "op13_hard_negatives": r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+  FROM v AS a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.x) = len(v.x)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+m AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id
+  WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM m WHERE rank <= 10""",
 }

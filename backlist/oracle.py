@@ -8,7 +8,9 @@ decimal literals are DECIMAL, so every such value is cast.
 
 from __future__ import annotations
 
-from backlist.registry import FIRST_YEAR, HORIZON, LAST_YEAR, YEARS
+from backlist.registry import (
+    FIRST_YEAR, HORIZON, LAST_YEAR, ORDER_LAST, ORDER_ORIGIN, QUANTILES, SHIP_LAST, SHIP_ORIGIN, YEARS, _day,
+)
 
 L = LAST_YEAR
 
@@ -117,13 +119,13 @@ def title_points() -> str:
         f"SELECT row_id, year, '{m}' AS metric, {v} AS v FROM title_year" for m, v in zip(METRICS, values)) + ")"
 
 
-def proj_sql(k: str, levels=("Moderate",), labels=LABELS) -> str:
+def proj_sql(k: str, levels=("Moderate",), labels=LABELS, mid=MID, last=L, horizon=HORIZON, grid=1024.0) -> str:
     """From ``points`` to ``proj(confidence, keys, method, metric, year, value)``."""
     ids = f"{k}metric"
     on = " AND ".join(f"r.{c.strip()} = s.{c.strip()}" for c in ids.split(","))
     return f"""
 ranked AS (
-  SELECT *, CAST(year - {MID} AS DOUBLE) AS x, row_number() OVER (PARTITION BY {ids} ORDER BY year) AS i FROM points),
+  SELECT *, CAST(year - {mid} AS DOUBLE) AS x, row_number() OVER (PARTITION BY {ids} ORDER BY year) AS i FROM points),
 line AS (
   SELECT {ids}, count(*) AS n, max(abs(v)) AS top, arg_max(v, year) AS y_last,
          regr_slope(v, x) AS b, regr_intercept(v, x) AS a, regr_slope(x * x, x) AS qb, regr_intercept(x * x, x) AS qa
@@ -143,17 +145,17 @@ ends AS (
   FROM smooth JOIN line USING ({ids}) GROUP BY {ids}),
 levels(confidence, m) AS (VALUES {', '.join(f"('{c}', {CONF[c]}::DOUBLE)" for c in levels)}),
 methods(method) AS (VALUES {', '.join(f"('{x}')" for x in labels)}),
-steps AS (SELECT CAST(range AS INTEGER) AS step, CAST(range + {L - MID} AS DOUBLE) AS x FROM range(1, {HORIZON + 1})),
+steps AS (SELECT CAST(range AS INTEGER) AS step, CAST(range + {last - mid} AS DOUBLE) AS x FROM range(1, {horizon + 1})),
 model AS (
   SELECT *, y_last + (a + b * x + CASE WHEN method = 'Polynomial' AND n >= 3 THEN c * (x * x - qa - qb * x)
                                        ELSE 0.0::DOUBLE END - y_last) * m AS scaled
   FROM line JOIN bend USING ({ids}) JOIN ends USING ({ids}) CROSS JOIN levels CROSS JOIN methods CROSS JOIN steps),
 proj AS (
-  SELECT confidence, {k}method, metric, CAST({L} + step AS INTEGER) AS year,
+  SELECT confidence, {k}method, metric, CAST({last} + step AS INTEGER) AS year,
          floor((CASE WHEN top = 0 THEN 0.0::DOUBLE
                      WHEN method = 'Exponential Smoothing' THEN greatest(0.0::DOUBLE, s_n + trend * m * step)
                      WHEN metric = 'revenue_per_title' THEN scaled
-                     ELSE greatest(scaled, 0.0::DOUBLE) END) * 1024.0::DOUBLE + 0.5::DOUBLE) / 1024.0::DOUBLE AS value
+                     ELSE greatest(scaled, 0.0::DOUBLE) END) * {grid}::DOUBLE + 0.5::DOUBLE) / {grid}::DOUBLE AS value
   FROM model)"""
 
 
@@ -351,6 +353,49 @@ g AS (SELECT year, (total_sales / NULLIF(lag(total_sales) OVER (ORDER BY year),
 SELECT year, format('{{:+.1f}}%', round_even(x * 10.0::DOUBLE, 0) / 10.0::DOUBLE) AS growth_text FROM g"""),
 }
 
+ORACLE |= {
+    "projection_sink": ORACLE["projections_all"],
+    "projection_summary_sink": ORACLE["projection_summary"],
+    "curate_observed": ORACLE["validate_numeric"].replace("n_bad, n_rows FROM (", "n_bad, n_rows, n_rows AS n_curated FROM (", 1),
+    "ingest_multiline": with_base(f"""x AS (SELECT 1) SELECT d.title_key, concat('"', d.imprint, '",', chr(10), chr(10), 'House ', d.row_id % 10,
+    CASE WHEN d.row_id % 7 = 0 THEN chr(10) ELSE '' END) AS imprint, ty.year,
+    {_money_render("CAST((ty.row_id + ty.year) % 8 AS INTEGER)", "ty.net_sales", 4)} AS net_sales
+  FROM title_year ty JOIN title_dim d ON d.row_id = ty.row_id"""),
+    "malformed_records": with_base("""f AS (SELECT CASE WHEN row_id % 11 = 0 THEN 7 WHEN row_id % 13 = 0 THEN 8 ELSE 5 END AS n FROM title_dim)
+SELECT CASE WHEN n = 5 THEN 'none' ELSE 'surplus_cells' END AS fault, CAST(n AS INTEGER) AS n_cells, count(*) AS n_records
+FROM f GROUP BY n"""),
+    "validation_failures": """SELECT 'bare' AS export, 'sales_columns' AS "check", 'error' AS severity, NULL::BIGINT AS n_bad, NULL::BIGINT AS n_rows
+UNION ALL SELECT e, 'quantity_columns', 'warn', NULL, NULL FROM (VALUES ('bare'), ('empty')) t(e)
+UNION ALL SELECT 'empty', 'empty', 'error', NULL, count(*) FROM part WHERE 1980 + p_size < 0
+UNION ALL SELECT 'empty', 'numeric_content', 'ok', count(*), count(*) FROM part WHERE 1980 + p_size < 0""",
+    "column_fill": with_base(f"""c AS (
+  SELECT 0 AS position, 'WorkRef' AS "column", 'description' AS role, count(*) AS n_rows, count(work_ref) AS n_filled FROM title_dim
+  UNION ALL SELECT 1, 'PubDate', 'description', count(*), count(pub_date) FROM title_dim
+  UNION ALL SELECT 2, 'FiscalYearOfPublication', 'description', count(*), count(fiscal_year) FROM title_dim
+  UNION ALL SELECT 3, 'Edition Status', 'description', count(*), count(edition_status) FROM title_dim
+  UNION ALL SELECT 4, 'CoPub', 'description', count(*), count(copub) FROM title_dim
+  UNION ALL SELECT 5 + year - {FIRST_YEAR}, 'Net Sales $ ' || year, 'sales ' || year, count(*), CAST(count_if(net_sales > 0) AS BIGINT)
+    FROM title_year GROUP BY year)
+SELECT CAST(position AS INTEGER) AS position, "column", role, n_rows, n_filled FROM c"""),
+    "date_layouts": """SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS month_first,
+  strftime(l_shipdate, '%Y-%m-%d') AS day_first,
+  CASE WHEN l_orderkey % 5 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d')
+       WHEN day(l_shipdate) <= 12 THEN strftime(make_date(year(l_shipdate), day(l_shipdate), month(l_shipdate)), '%Y-%m-%d') END AS mixed
+  FROM lineitem""",
+    "quantile_sketch": f"""SELECT CAST(p AS DOUBLE) AS p, (SELECT count(*) FROM lineitem) AS n, TRUE AS low_enough, TRUE AS high_enough
+  FROM (VALUES {', '.join(f'({p})' for p in QUANTILES)}) t(p)""",
+    "projections_monthly": f"""WITH RECURSIVE points AS (
+  SELECT o_orderpriority, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS year, 'total_sales' AS metric,
+         CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY 1, 2),
+{proj_sql('o_orderpriority, ', mid=ORDER_ORIGIN, last=ORDER_LAST, horizon=12, grid=1.0)}
+SELECT o_orderpriority, method, year AS period, value FROM proj""",
+    "projections_daily": f"""WITH RECURSIVE points AS (
+  SELECT CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS INTEGER) AS year, 'total_sales' AS metric,
+         CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(1 - l_discount AS DECIMAL(4,2))) AS DOUBLE) AS v FROM lineitem GROUP BY 1),
+{proj_sql('', mid=_day(SHIP_ORIGIN), last=_day(SHIP_LAST), horizon=30, grid=1.0)}
+SELECT method, year AS period, value FROM proj""",
+}
+
 for _name in ("loose_roles", "explicit_roles", "series_sink"):
     ORACLE[_name] = ORACLE["yearly_summary"]
 ORACLE["yoy_growth_later_years"] = ORACLE["yoy_growth"] + " QUALIFY year > min(year) OVER ()"

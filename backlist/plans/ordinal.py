@@ -28,11 +28,17 @@ def with_file_ordinal(scan: DataFrame, name: str = "row_id", header: bool = Fals
     and a file whose header differs from the first file's fails the job by
     name instead of being read by position.
     """
-    cols = scan.columns
-    block = ["_file", "_start"]
-    tagged = scan.select(*[F.col(c) for c in cols], F.col("_metadata.file_path").alias("_file"),
+    tagged = scan.select(*[F.col(c) for c in scan.columns], F.col("_metadata.file_path").alias("_file"),
                          F.col("_metadata.file_block_start").alias("_start"),
                          F.monotonically_increasing_id().alias("_pos"))
+    return with_ordinal(tagged, name, header)
+
+
+def with_ordinal(tagged: DataFrame, name: str = "row_id", header: bool = False) -> DataFrame:
+    """The same for rows that carry ``_file``, ``_start`` (their block) and
+    ``_pos`` (without gaps, ascending, within a block)."""
+    block = ["_file", "_start"]
+    cols = [c for c in tagged.columns if c not in (*block, "_pos")]
     aggs = [F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")]
     if header:
         aggs.append(F.min_by(F.array(*[F.col(c).cast("string") for c in cols]), "_pos").alias("_header"))

@@ -7,22 +7,28 @@ series years 1995..2001, latest year 2001, forecasts 2002..2006.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from backlist.functions.agg import fixed_point, fixed_sum
 from backlist.functions.clean import null_words, parse_date, parse_money, parse_number, parse_quantity
 from backlist.functions.fmt import pct_text, tidy_name
+from backlist.functions.layouts import elect_layouts, parse_elected
 from backlist.operators import category as cat
+from backlist.operators import longseries as lng
 from backlist.operators import projections as prj
 from backlist.operators import series as ser
 from backlist.operators import titles as tit
+from backlist.plans import sketches
 from backlist.plans.ordinal import with_file_ordinal
 from backlist.session import checkpoint_root, shared_dir
 from backlist.sources import csv_catalog as csvc
 from backlist.sources import sinks
 from backlist.sources.catalog import Catalog, qty_col, sales_col
+from backlist.sources.exports import Export, read_export
 from backlist.sources.roles import DIMENSIONS, ColumnRoles, detect_roles
 from backlist.sources.testdata import FIRST_YEAR, LAST_YEAR, tpch_catalog
 
@@ -50,8 +56,8 @@ def yearly(spark: SparkSession, d: str, keys=()) -> DataFrame:
 GRID = 1024.0
 
 
-def _reported(projections: DataFrame) -> DataFrame:
-    return projections.withColumn("value", F.floor(F.col("value") * F.lit(GRID) + F.lit(0.5)) / F.lit(GRID))
+def _reported(projections: DataFrame, grid: float = GRID) -> DataFrame:
+    return projections.withColumn("value", F.floor(F.col("value") * F.lit(grid) + F.lit(0.5)) / F.lit(grid))
 
 
 def _project(spark, d, keys=(), **kw):
@@ -247,6 +253,141 @@ def q_dataset_sink(spark, d):
     return cur.latest().select("row_id", "title_key", "book_type", "fiscal_year", "sales")
 
 
+def q_projection_sink(spark, d, name="sales_projections"):
+    """Both projection exports, published under their date and read again."""
+    root = shared_dir(spark, "exports")
+    run = Export(spark, root, dt.date(LAST_YEAR, 12, 31))
+    proj = _project(spark, d)
+    run.small("sales_projections", proj)
+    run.small("projection_summary", prj.projection_summary(proj, LAST_YEAR, HORIZON))
+    run.commit()
+    return read_export(spark, root, name)
+
+
+# exports as files: what a user uploads
+
+INDEX = {"Index": "title_key"}
+
+
+def q_ingest_multiline(spark, d):
+    """An export whose cells hold line breaks, quotes and commas, found as the
+    second of two paths and read by many tasks."""
+    path = shared_dir(spark, "multiline")
+    imprint = "concat('\"', imprint, '\",\n\nHouse ', row_id % 10, if(row_id % 7 = 0, '\n', ''))"
+    headers = INDEX | KEYS | {"Imprint": imprint}
+    headers |= {SALES_HEADER.format(y=y): money_render_sql(sales_col(y), f"(row_id + {y}) % 8", 4) for y in YEARS}
+    _write_export(catalog(spark, d).titles, headers, path)
+    raw = csvc.read_first(spark, [f"{path}-of-another-day", path], years=YEARS, splittable=True)
+    cur = csvc.curate(raw)
+    return cur.title_year(carry=["title_key", "imprint"]).select("title_key", "imprint", "year", "net_sales")
+
+
+def _write_export(titles, headers: dict[str, str], path: str) -> None:
+    cols = [f"{e} AS `{h}`" for h, e in headers.items()]
+    titles.selectExpr(*cols).write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false",
+                                           ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def q_malformed_records(spark, d):
+    """Records with cells beyond the header, the first of them empty, and their
+    cells, by the kind of fault; those left are curated."""
+    path = shared_dir(spark, "malformed")
+    headers = INDEX | KEYS | {f"Net Sales $ {LAST_YEAR}": _text(sales_col(LAST_YEAR))}
+    record = f"concat_ws(',', {', '.join(headers.values())})"
+    line = f"CASE WHEN row_id % 11 = 0 THEN concat({record}, ',,extra') WHEN row_id % 13 = 0 THEN concat({record}, ',\"a,b\",c,d') ELSE {record} END"
+    # the records as they stand: neither quoted nor escaped
+    out = catalog(spark, d).titles.selectExpr(f"{line} AS `{','.join(headers)}`")
+    out.write.options(header="true", sep="\u0001", quote="").csv(path)
+    raw = csvc.read_catalog(spark, path, years=YEARS, splittable=True)
+    bad = csvc.malformed(raw).groupBy("fault", "n_cells").agg(F.count(F.lit(1)).alias("n_records"))
+    kept = csvc.curate(raw, malformed="drop").titles
+    return bad.unionByName(kept.agg(F.lit("none").alias("fault"), F.lit(len(headers)).alias("n_cells"),
+                                    F.count(F.lit(1)).alias("n_records")))
+
+
+def q_curate_observed(spark, d):
+    """The numbers of ``validate_numeric``, observed while the titles are
+    written."""
+    headers = KEYS | {f"Net Sales $ {y}": money_render_sql(sales_col(y), f"(row_id + {y}) % 8", 4) for y in YEARS}
+    _, report, cur = csvc.curate_to(_numbered(catalog(spark, d).titles, headers), shared_dir(spark, "observed"))
+    numeric = report.where("check = 'numeric_content'")
+    return numeric.select(F.regexp_extract("column", "([0-9]{4})", 1).cast("int").alias("year"), "severity", "n_bad",
+                          "n_rows", cur.titles.agg(F.count(F.lit(1))).scalar().alias("n_curated"))
+
+
+def q_validation_failures(spark, d):
+    """An export without sales columns, and one without rows."""
+    titles = catalog(spark, d).titles
+    bare = csvc.validate(_numbered(titles, KEYS))[1]
+    headers = KEYS | {f"Net Sales $ {LAST_YEAR}": _text(sales_col(LAST_YEAR))}
+    empty = csvc.validate(_numbered(titles.where("fiscal_year < 0"), headers))[1]
+    return bare.select(F.lit("bare").alias("export"), "check", "severity", "n_bad", "n_rows").unionByName(
+        empty.select(F.lit("empty").alias("export"), "check", "severity", "n_bad", "n_rows"))
+
+
+def q_column_fill(spark, d):
+    """Column inventory: each column's role and filled cells."""
+    headers = KEYS | {"Edition Status": "edition_status", "CoPub": "copub"}
+    headers |= {f"Net Sales $ {y}": f"CASE WHEN {sales_col(y)} > 0 THEN {_text(sales_col(y))} ELSE 'N/A' END" for y in YEARS}
+    return csvc.column_fill(_numbered(catalog(spark, d).titles, headers))
+
+
+def q_date_layouts(spark, d):
+    """Ship dates with the month first, with the day first, and a fifth of them
+    the other way: each column is read by the layout that most of it fits."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    s, fifth = F.col("l_shipdate"), F.col("l_orderkey") % 5 == 0
+    month, day = F.date_format(s, "M/d/yyyy"), F.date_format(s, "d/M/yyyy")
+    text = {"month_first": month, "day_first": day, "mixed": F.when(fifth, month).otherwise(day)}
+    won = elect_layouts(li, text)
+    return li.select("l_orderkey", "l_linenumber", *[
+        F.date_format(parse_elected(c, won[k].formats), "yyyy-MM-dd").alias(k) for k, c in text.items()])
+
+
+# series of any length: reported in whole units, as sums over many points differ more
+
+ORDER_LAST = LAST_YEAR * 12 + 11   # months since year 0
+ORDER_ORIGIN = 1998 * 12 + 6
+SHIP_LAST, SHIP_ORIGIN = "2001-12-31", "1998-06-30"
+
+
+def _day(text: str) -> int:
+    return (dt.date.fromisoformat(text) - dt.date(1970, 1, 1)).days
+
+
+def q_projections_monthly(spark, d):
+    """Monthly order values by priority, fitted and smoothed."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("month")
+    series = orders.groupBy("o_orderpriority", month).agg(fixed_sum(fixed_point("o_totalprice", 2), 2).alias("total_sales"))
+    return _reported(lng.project_series(series, ["o_orderpriority"], period="month", value="total_sales", origin=ORDER_ORIGIN,
+                                        last=ORDER_LAST, horizon=12), 1.0)
+
+
+def q_projections_daily(spark, d):
+    """Daily sales of the whole portfolio: some 2,500 points in one series."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    units = fixed_point("l_extendedprice", 2) * fixed_point(F.lit(1.0) - F.col("l_discount"), 2)
+    series = li.groupBy(F.unix_date(F.col("l_shipdate").cast("date")).alias("day")).agg(fixed_sum(units, 4).alias("total_sales"))
+    return _reported(lng.project_series(series, period="day", value="total_sales", origin=_day(SHIP_ORIGIN),
+                                        last=_day(SHIP_LAST), horizon=30), 1.0)
+
+
+QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def q_quantile_sketch(spark, d):
+    """Quantiles of the line items' prices from one sketch per ship year, merged,
+    and whether their ranks are within the stated error."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    by_year = li.groupBy(F.year("l_shipdate").alias("year")).agg(sketches.sketch("l_extendedprice").alias("s"))
+    estimates = by_year.agg(sketches.merged("s").alias("s")).select(sketches.quantiles("s", QUANTILES)).first()[0]
+    rank, slack = F.col("p") * F.col("n"), F.lit(2 * sketches.rank_error()) * F.col("n") + F.lit(1)
+    return sketches.rank_span(li, "l_extendedprice", QUANTILES, estimates).select(
+        "p", "n", (F.col("below").cast("double") <= rank + slack).alias("low_enough"),
+        (F.col("upto").cast("double") >= rank - slack).alias("high_enough"))
+
+
 # ---------------------------------------------------------------- registry
 
 def _dims(spark, d):
@@ -266,6 +407,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explicit_roles": q_explicit_roles,
     "latest_by_role": q_latest_by_role,
     "validation_report": q_validation_report,
+    "ingest_multiline": q_ingest_multiline,
+    "malformed_records": q_malformed_records,
+    "curate_observed": q_curate_observed,
+    "validation_failures": q_validation_failures,
+    "column_fill": q_column_fill,
+    "date_layouts": q_date_layouts,
+    "quantile_sketch": q_quantile_sketch,
+    "projection_sink": q_projection_sink,
+    "projection_summary_sink": lambda s, d: q_projection_sink(s, d, "projection_summary"),
     "series_sink": q_series_sink,
     "dataset_sink": q_dataset_sink,
     "title_key": q_title_key,
@@ -308,6 +458,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "projections_by_title": lambda s, d: _reported(prj.project_titles(catalog(s, d), last_year=LAST_YEAR,
                                                                       horizon=HORIZON)),
     "projection_summary": lambda s, d: prj.projection_summary(_project(s, d), LAST_YEAR, HORIZON),
+    "projections_monthly": q_projections_monthly,
+    "projections_daily": q_projections_daily,
     "projection_overlay": lambda s, d: prj.projection_overlay(yearly(s, d), _project(s, d)),
 }
 

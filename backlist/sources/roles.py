@@ -164,3 +164,12 @@ def describe_roles(spark, roles: ColumnRoles):
           (roles.latest_sales() or (None, None))[1], list(roles.warnings))],
         "sales_columns int, quantity_columns int, total_columns int, series_years array<int>, "
         "latest_sales_column string, warnings array<string>")
+
+
+def column_role(roles: ColumnRoles, name: str) -> str:
+    """``sales <year>``, ``quantity <year>`` or ``description``."""
+    for kind, years in (("sales", roles.sales_by_year), ("quantity", roles.quantity_by_year)):
+        for y, c in years.items():
+            if c == name:
+                return f"{kind} {y}"
+    return "description"

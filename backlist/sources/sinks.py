@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backlist.sources.catalog import Catalog
 
+# quotes are doubled and blanks kept, so that what is written reads back the same
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def stamped(name: str, run_date: dt.date) -> str:
     """``<name>_<YYYYMMDD>``; the run date is an argument, not the clock."""
     return f"{name}_{run_date:%Y%m%d}"
@@ -18,7 +22,7 @@ def stamped(name: str, run_date: dt.date) -> str:
 def write_small_csv(df: DataFrame, path: str) -> str:
     """One CSV file with a header for a report whose row count is bounded
     by its construction (years, methods, metrics, columns of the header)."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    df.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
     return path
 
 
@@ -30,7 +34,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.options(**CSV).csv(path)
     else:
         w.format(fmt).save(path)
     return path

@@ -20,8 +20,10 @@ Rows are told apart by 128 bits of hash of id and text, so repeated rows are
 documents of their own that repeat each other.
 
 Defined cases: null and blank texts have no words; texts shorter than the
-window lose nothing; repeated rows lose every word of every window; null
-doc_ids are kept apart by text; other columns are ignored or handed through.
+window lose nothing; very long texts are one row like any other; repeated rows
+lose every word of every window; null doc_ids are kept apart by text; an empty
+table gives an empty result; other columns are ignored or handed through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ WINDOW = 35
 GRAM = 8
 HOT_GRAMS = 100_000
 HOT_COUNT = 64  # never hot below this
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
+BLOCK = 1 << 19  # bytes of text hashed at once
 _RUN = WINDOW - GRAM + 1  # grams in a window, and the most windows in a segment
 _LATE = np.uint64(1 << 63)
 
@@ -60,7 +63,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
     corpus, as far as single blocks of text show it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, max_bytes=BLOCK):
             g = _grams(encoded(b.column(0)))[2]
             gram, n = np.unique(g, return_counts=True)
             keep = n >= max(3, len(g) // (HOT_GRAMS // 5))
@@ -144,7 +147,7 @@ def segments(docs: DataFrame) -> DataFrame:
     hot = frequent_grams(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, max_bytes=BLOCK):
             d, place, anchor, content = _segments(encoded(b.column(0)), hot)
             u1, u2 = (b.column(k).to_numpy()[d] for k in (1, 2))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, u1, u2, place)],
@@ -214,13 +217,13 @@ def marks(docs: DataFrame) -> DataFrame:
                                                  ["shard", "anchor", "content", "weight", "windows", "words"])
 
     def search(shard: pa.Table) -> pa.Table:
-        # a segment that stands in repeated rows came once for each of them
-        shard = shard.group_by(["anchor", "content"]).aggregate([("weight", "max"), ("windows", "max"), ("words", "min")])
-        mask = mark_shard(shard["words_min"].to_pylist(), shard["windows_max"].to_numpy(), shard["weight_max"].to_numpy())
+        mask = mark_shard(shard["words"].to_pylist(), shard["windows"].to_numpy(), shard["weight"].to_numpy())
         found = mask != 0
         return shard.select(["anchor", "content"]).append_column("mask", pa.array(mask)).filter(pa.array(found))
 
-    texts = _squeezed(_identified(docs).select("text", "u1", "u2"))
+    # repeated rows are combined before the shuffle, so a shard gets each segment once
+    texts = (_squeezed(_identified(docs).select("text", "u1", "u2")).groupBy("u1", "u2").agg(F.min("z").alias("z"))
+             .where(F.col("z").isNotNull()))
     cuts = map_arrow(texts.join(wanted, ["u1", "u2"]).select("z", "s"), cut,
                      "shard long, anchor long, content long, weight long, windows long, words binary")
     found = cuts.groupBy("shard").applyInArrow(search, "anchor long, content long, mask long")

@@ -37,6 +37,18 @@ def fixed_sum(units: Column, scale: int) -> Column:
     return (total * F.lit(Decimal(1).scaleb(-scale))).cast("double")
 
 
+def fixed_point_sql(v: str, scale: int) -> str:
+    """``fixed_point`` as SQL text."""
+    return f"CAST(rint({v} * {float(10 ** scale)}D) AS BIGINT)"
+
+
+def fixed_sum_sql(units: str, scale: int) -> str:
+    """``fixed_sum`` as SQL text."""
+    hi, lo = f"sum(shiftright({units}, {LANE_BITS}))", f"sum({units} & {(1 << LANE_BITS) - 1})"
+    total = f"CAST({hi} AS DECIMAL(38,0)) * CAST({1 << LANE_BITS} AS DECIMAL(38,0)) + CAST({lo} AS DECIMAL(38,0))"
+    return f"CAST(({total}) * {Decimal(1).scaleb(-scale)}BD AS DOUBLE)"
+
+
 def money_sum_sql(v: str) -> str:
     """Order-independent sum of a DOUBLE money column, as SQL text (one parse
     in the JVM instead of a chain of client-side calls).

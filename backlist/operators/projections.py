@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from backlist.functions.fmt import money_text
 from backlist.operators.series import METRICS
+from backlist.session import checkpoint_root
 from backlist.sources.catalog import Catalog, qty_col, sales_col
 
 # Method names, confidence multipliers, smoothing factor and the
@@ -266,3 +267,12 @@ def projection_overlay(yearly: DataFrame, projections: DataFrame,
     proj = projections.where(F.col("metric") == metric).select(
         F.concat(F.col("method"), F.lit(" Projection")).alias("series"), "year", "value")
     return hist.unionByName(proj)
+
+
+def overlay(yearly: DataFrame, *, metric: str = "total_sales", **options) -> DataFrame:
+    """``projection_overlay`` of a portfolio's series and its projections
+    (``options`` of ``project``).  The series, a row for each year, is
+    checkpointed, so what it is made of is read once for both."""
+    checkpoint_root(yearly.sparkSession)
+    yearly = yearly.checkpoint(eager=True)
+    return projection_overlay(yearly, project(yearly, metrics=[metric], **options), metric)

@@ -29,7 +29,9 @@ def sales_histogram(latest: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max], the last bin closed; every bin is
     returned (0-filled).  With min = max all titles fall in bin 0."""
     spark = latest.sparkSession
-    # two scalar subqueries over the same input: Spark merges them into one pass
+    # one column, computed once: the range and the counts read it
+    checkpoint_root(spark)
+    latest = latest.select("sales").checkpoint(eager=True)
     lo, hi = latest.agg(F.min("sales")).scalar(), latest.agg(F.max("sales")).scalar()
     width = hi - lo
     raw = F.floor((F.col("sales") - lo) * F.lit(float(bins)) / width)

@@ -65,6 +65,12 @@ def _project(spark, d, keys=(), **kw):
                                  horizon=HORIZON, **kw))
 
 
+def q_projection_overlay(spark, d):
+    out = prj.overlay(yearly(spark, d), years=YEARS, last_year=LAST_YEAR, horizon=HORIZON)
+    forecast = F.col("series") != "Historical Data"
+    return out.withColumn("value", F.when(forecast, F.floor(F.col("value") * GRID + 0.5) / GRID).otherwise(F.col("value")))
+
+
 # ---------------------------------------------------------------- text renders
 # Deterministic "messy export" text made from the numbers, so parsing can be
 # checked against the numbers themselves.
@@ -460,7 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "projection_summary": lambda s, d: prj.projection_summary(_project(s, d), LAST_YEAR, HORIZON),
     "projections_monthly": q_projections_monthly,
     "projections_daily": q_projections_daily,
-    "projection_overlay": lambda s, d: prj.projection_overlay(yearly(s, d), _project(s, d)),
+    "projection_overlay": q_projection_overlay,
 }
 
 FLAGSHIP = "projections_all"

@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no Python call site is taken down for every expression of a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -14,43 +14,39 @@ Line items refer to parts, so the portfolio's series needs no join with them.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backlist.functions.agg import fixed_point, fixed_sum
+from backlist.functions.agg import fixed_point_sql, fixed_sum_sql
 from backlist.sources.catalog import Catalog, qty_col, sales_col
 from backlist.sources.roles import DIMENSIONS
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
 
+# The plans are given as SQL text: one parse in the JVM instead of a client
+# call for every operator.
+TITLE_DIM = (
+    "p_partkey AS row_id", "concat('w', p_partkey, '_', p_partkey) AS title_key", "concat('w', p_partkey) AS work_ref",
+    "CASE WHEN p_partkey % 2 = 0 THEN 'a. Print' ELSE 'b. eBook' END AS reporting_type",
+    "p_type AS book_type", "p_brand AS discipline", "concat('Editor ', p_size) AS acquisition_editor",
+    "CASE p_size % 4 WHEN 0 THEN 'New' WHEN 1 THEN 'Revised' WHEN 2 THEN 'Reissue' END AS edition_status",
+    "concat('Format ', p_size % 7) AS reporting_product_type", "concat('Slot ', p_size % 5) AS catalog_position",
+    "CASE WHEN p_size > 40 THEN 'Y' ELSE 'N' END AS legacy_library",
+    "CASE p_size % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS copub",
+    "concat('Class ', p_partkey % 3) AS title_counts_type", "split_part(p_name, ' ', 2) AS ip_book_type",
+    "concat('Group ', p_partkey % 6) AS high_investment_group", "concat('Publisher ', p_partkey % 9) AS imprint",
+    "make_date(1980 + p_size, 1 + p_partkey % 12, 1 + p_partkey % 28) AS pub_date",
+    "CAST(1980 + p_size AS INT) AS fiscal_year",
+)
+DIM_COLUMNS = tuple(e.rpartition(" AS ")[2] for e in TITLE_DIM)
+
+
 def title_dim(part: DataFrame) -> DataFrame:
     """One row per part with the catalog's descriptive columns."""
-    pk, size = F.col("p_partkey"), F.col("p_size")
-    return part.select(
-        pk.alias("row_id"),
-        F.concat(F.lit("w"), pk, F.lit("_"), pk).alias("title_key"),
-        F.concat(F.lit("w"), pk).alias("work_ref"),
-        F.when(pk % 2 == 0, "a. Print").otherwise("b. eBook").alias("reporting_type"),
-        F.col("p_type").alias("book_type"),
-        F.col("p_brand").alias("discipline"),
-        F.concat(F.lit("Editor "), size).alias("acquisition_editor"),
-        F.when(size % 4 == 0, "New").when(size % 4 == 1, "Revised")
-         .when(size % 4 == 2, "Reissue").alias("edition_status"),
-        F.concat(F.lit("Format "), size % 7).alias("reporting_product_type"),
-        F.concat(F.lit("Slot "), size % 5).alias("catalog_position"),
-        F.when(size > 40, "Y").otherwise("N").alias("legacy_library"),
-        F.when(size % 3 == 0, "Yes").when(size % 3 == 1, "No").alias("copub"),
-        F.concat(F.lit("Class "), pk % 3).alias("title_counts_type"),
-        F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("ip_book_type"),
-        F.concat(F.lit("Group "), pk % 6).alias("high_investment_group"),
-        F.concat(F.lit("Publisher "), pk % 9).alias("imprint"),
-        F.make_date(F.lit(1980) + size, F.lit(1) + pk % 12, F.lit(1) + pk % 28).alias("pub_date"),
-        (F.lit(1980) + size).cast("int").alias("fiscal_year"),
-    )
+    return part.selectExpr(*TITLE_DIM)
 
 
 def title_year_facts(lineitem: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -63,20 +59,17 @@ def title_year_facts(lineitem: DataFrame, years: Sequence[int]) -> DataFrame:
     The aggregate is combined map-side before the shuffle, so a part that
     owns a large share of all line items costs one row per task.
     """
-    lo, hi = dt.date(min(years), 1, 1), dt.date(max(years) + 1, 1, 1)
-    li = lineitem.where((F.col("l_shipdate") >= F.lit(lo)) & (F.col("l_shipdate") < F.lit(hi)))
-    year = F.year("l_shipdate")
+    keep = f"l_shipdate >= DATE '{min(years)}-01-01' AND l_shipdate < DATE '{max(years) + 1}-01-01'"
     if len(years) != max(years) - min(years) + 1:
-        li = li.where(year.isin(list(years)))
-    cents = fixed_point(F.col("l_extendedprice"), 2)
-    pct = fixed_point(F.lit(1.0) - F.col("l_discount"), 2)
-    units = cents * pct
-    facts = (li.select(F.col("l_partkey").alias("row_id"), year.alias("year"),
-                       units.alias("amount"), fixed_point(F.col("l_quantity"), 2).alias("qty")))
+        keep += f" AND year(l_shipdate) IN ({', '.join(map(str, years))})"
+    facts = lineitem.where(keep).selectExpr(
+        "l_partkey AS row_id", "year(l_shipdate) AS year",
+        f"{fixed_point_sql('l_extendedprice', 2)} * {fixed_point_sql('(1.0D - l_discount)', 2)} AS amount",
+        f"{fixed_point_sql('l_quantity', 2)} AS qty")
     keys = ["row_id"] if len(years) == 1 else ["row_id", "year"]
-    out = facts.groupBy(*keys).agg(fixed_sum(F.col("amount"), 4).alias("net_sales"),
-                                   fixed_sum(F.col("qty"), 2).alias("net_qty"))
-    return out if len(years) > 1 else out.withColumn("year", F.lit(years[0]))
+    out = facts.groupBy(*keys).agg(F.expr(f"{fixed_sum_sql('amount', 4)} AS net_sales"),
+                                   F.expr(f"{fixed_sum_sql('qty', 2)} AS net_qty"))
+    return out if len(years) > 1 else out.selectExpr("*", f"{years[0]} AS year")
 
 
 def tpch_catalog(spark: SparkSession, sf_dir: str, first_year: int = FIRST_YEAR,
@@ -93,20 +86,16 @@ def tpch_catalog(spark: SparkSession, sf_dir: str, first_year: int = FIRST_YEAR,
     if len(years) == 1:
         # one year: the facts are already one row per title
         y = years[0]
-        wide = facts.select("row_id", F.col("net_sales").alias(sales_col(y)),
-                            F.col("net_qty").alias(qty_col(y)))
+        wide = facts.selectExpr("row_id", f"net_sales AS {sales_col(y)}", f"net_qty AS {qty_col(y)}")
     else:
         # one row per title with a column pair per year (at most len(years)
         # rows per title feed it, so no title is a hot key here)
-        wide = facts.groupBy("row_id").agg(*[
-            agg for y in years for agg in (
-                F.max(F.when(F.col("year") == y, F.col("net_sales"))).alias(sales_col(y)),
-                F.max(F.when(F.col("year") == y, F.col("net_qty"))).alias(qty_col(y)))])
-    dims = title_dim(part)
-    joined = dims.join(wide, "row_id", "left")
-    measures = [F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-                for y in years for c in (sales_col(y), qty_col(y))]
-    latest = F.coalesce(F.col(sales_col(last_year)), F.lit(0.0)) if last_year in years else F.lit(None)
-    titles = joined.select(*dims.columns, *measures, latest.cast("double").alias("latest_sales"))
+        wide = facts.groupBy("row_id").agg(*[F.expr(e) for y in years for e in (
+            f"max(CASE WHEN year = {y} THEN net_sales END) AS {sales_col(y)}",
+            f"max(CASE WHEN year = {y} THEN net_qty END) AS {qty_col(y)}")])
+    joined = title_dim(part).join(wide, "row_id", "left")
+    measures = [f"coalesce({c}, 0.0D) AS {c}" for y in years for c in (sales_col(y), qty_col(y))]
+    latest = f"coalesce({sales_col(last_year)}, 0.0D)" if last_year in years else "CAST(NULL AS DOUBLE)"
+    titles = joined.selectExpr(*DIM_COLUMNS, *measures, f"{latest} AS latest_sales")
     return Catalog(titles, years, last_year if last_year in years else max(years),
                    tuple(s for _, s in DIMENSIONS), facts=facts)

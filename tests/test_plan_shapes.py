@@ -53,3 +53,9 @@ def test_no_cartesian_products(plans):
     for name, p in plans.items():
         for marker in ("CartesianProduct", "BroadcastNestedLoopJoin"):
             assert marker not in p, (name, marker)
+
+
+def test_overlay_and_histogram_read_their_input_once(plans):
+    """What both branches need is checkpointed: no line item is scanned again."""
+    for name in ("projection_overlay", "sales_histogram"):
+        assert "lineitem" not in plans[name] and "l_extendedprice" not in plans[name], name

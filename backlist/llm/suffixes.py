@@ -162,7 +162,7 @@ def sort_bucket(texts: list[bytes], anchors: list[int], rank: np.ndarray, start:
     later = tied[1:][group[tied[1:]] == group[tied[:-1]]]
     mask, open_ = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
     np.bitwise_or.at(mask, piece[later], np.int64(1) << off[later])
-    ends = [x for x in (low, high) if x is not None]
+    ends = [x for x in (low, high) if x is not None and len(x) > GRAM]  # others part no suffixes that share a gram
     for k, (text, a) in enumerate(zip(texts, anchors)):
         common = max((_common(text[a:a + LENGTH], x) for x in ends), default=0)
         # a window that starts j bytes before the anchor has LENGTH - j bytes from there on
@@ -260,7 +260,9 @@ def suffixes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             if data:
                 yield from cut(own, data)
 
-    joined = _squeezed(rows).join(lists, _KEY).select(*_KEY, "z", "s")
+    # equal rows are one document; they are combined before the shuffle
+    texts = _squeezed(rows).groupBy(*_KEY).agg(F.min("z").alias("z"))
+    joined = texts.join(lists, _KEY).select(*_KEY, "z", "s")
     return map_arrow(joined, run, f"{PIECE}, at int, bytes binary")
 
 
@@ -268,16 +270,19 @@ def splitters(keyed: DataFrame) -> tuple[list[bytes], int]:
     """``(keys, planes)``: keys of a random sample that cut the suffixes into
     ranges of equal size, and into how many planes by the anchor's hash they are
     dealt besides, so that a bucket has about ``BUCKET_BYTES``."""
-    spark = keyed.sparkSession
     rows, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()
-    buckets = max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-size // BUCKET_BYTES), 1)
     ranges = min(buckets, RANGES)
     # drawn by hash, so that a repeated task draws the same rows
     share = min(1.0, ranges * KEYS_EACH / max(rows, 1))
     drawn = keyed.where(F.pmod(F.xxhash64("content", "first"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     keys = sorted(_key(bytes(r["bytes"]), r["at"], r["content"], r["first"])
                   for r in drawn.select("bytes", "at", "content", "first").collect())
-    cuts = sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
+    cuts: list[bytes] = []
+    for k in sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)} if keys else ()):
+        # before all suffixes with these leading bytes; only one that holds
+        # more than a bucket's share is cut inside
+        cuts.append(k if cuts and cuts[-1][:GRAM] == k[:GRAM] else k[:GRAM])
     return cuts, -(-buckets // ranges)
 
 

@@ -14,7 +14,9 @@ digests are verified; any disagreement is an error that names file and record.
 Defined cases: a null or empty payload is a record of no bytes, and such
 records count as equal; pages with the same id and payload as the response
 are responses too; pages without id have no record id of their own and come
-back with a null id; null url is empty; other columns are ignored.
+back with a null id; null url is empty; a very long payload is held whole, once,
+while its record is written or read; an empty table writes no file and reads no
+row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -136,8 +138,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                      F.coalesce("html", F.lit("")).alias("html"))
     p = p.select("*", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").alias("size"))
-    # the response of each payload; a digest's rows are combined before the shuffle
-    first = p.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("response_id"))
+    # the response of each payload; a digest's rows are combined before the shuffle,
+    # and written, so that both sides of the join come straight from a shuffle and
+    # the pages of a hot payload can be split
+    first = materialize(p.where(F.col("size") >= min_bytes).groupBy("sha1", "size")
+                        .agg(F.max("page_id").alias("response_id")), "warc-responses")
     dealt = p.join(first, ["sha1", "size"], "left").select(
         "page_id", "url", "html", F.coalesce("response_id", "page_id").alias("response_id"))
 
@@ -199,7 +204,10 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return map_arrow(manifest.select("file", "records").repartition("file"), run, schema)
+    # as many parts as files: a number that is given isn't merged, and ranges of
+    # distinct names hold one file each
+    files = manifest.select("file", "records").repartitionByRange(max(manifest.count(), 1), "file")
+    return map_arrow(files, run, schema)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -24,7 +24,7 @@ from backlist.operators import series as ser
 from backlist.operators import titles as tit
 from backlist.plans import sketches
 from backlist.plans.ordinal import with_file_ordinal
-from backlist.session import checkpoint_root, shared_dir
+from backlist.session import shared_dir
 from backlist.sources import csv_catalog as csvc
 from backlist.sources import sinks
 from backlist.sources.catalog import Catalog, qty_col, sales_col
@@ -137,7 +137,7 @@ def rendered_export(spark, d) -> DataFrame:
     def q(name: str) -> str:
         return "`" + name.replace("`", "``") + "`"
 
-    cols = ["row_id", "work_ref AS WorkRef", "book_type AS BookType", "discipline AS Discipline",
+    cols = ["row_id", "title_key AS Index", "work_ref AS WorkRef", "book_type AS BookType", "discipline AS Discipline",
             "CAST(fiscal_year AS STRING) AS FiscalYearOfPublication",
             "date_format(pub_date, 'yyyy-MM-dd') AS PubDate", "imprint AS Imprint"]
     for y in YEARS:
@@ -162,14 +162,11 @@ def q_validate_numeric(spark, d):
 
 def q_ingest_catalog(spark, d):
     """Write the messy export as CSV to the shared folder, read it back as a
-    user's file would be, curate it, and return its (title, year) table."""
+    user's file would be, curate it, and return its (title, year) table.  The
+    export carries its titles' keys, so its rows need no order."""
     path = shared_dir(spark, "ingest")
-    # sorted so that file order is title order (the export's row order); the
-    # range sort samples its input, so cut the lineage first (checkpoint in the
-    # shared folder) instead of computing the catalog twice
-    checkpoint_root(spark)
-    export = rendered_export(spark, d).checkpoint(eager=True).orderBy("row_id").drop("row_id")
-    export.write.option("header", "true").option("escape", '"').csv(path)
+    export = rendered_export(spark, d)
+    export.drop("row_id").write.option("header", "true").option("escape", '"').csv(path)
     raw = csvc.read_catalog(spark, path, years=YEARS)
     ok, _ = csvc.validate(raw)
     if not ok:

@@ -8,9 +8,12 @@ are one pattern with a count, so the packing works on patterns, never on
 documents.  Patterns are then joined back to pieces by rank: the r-th piece
 of a length takes the r-th place that the patterns hold for this length.
 
-Defined cases: a null or empty text is one piece with the end id alone;
-repeated rows and doc_ids are packed row by row; null doc_ids stay null; an
-empty table gives no rows; other columns are ignored.
+Defined cases: a null or empty text is one piece with the end id alone; a very
+long text is cut into pieces of the sequence length and a rest; pieces of equal
+length are interchangeable and take their places in the order in which the
+tasks cut them; repeated rows and doc_ids are packed row by row;
+null doc_ids stay null; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

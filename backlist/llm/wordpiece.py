@@ -12,7 +12,8 @@ built once from the file, so its size depends on the vocabulary alone.
 
 Defined cases: null and blank texts have no tokens; repeated rows are counted
 row by row; words are runs of bytes other than ASCII white space, of any
-length; other columns are ignored.
+length, in texts of any length; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,15 @@ last return the columns of ``docs``.  Substring removal leaves the kept words,
 joined by one space, as the text of the documents that lost some.
 
 The stages need a tokenizer, XXH64 and learned weights, which SQL does not
-have, so there is no ORACLE_SQL; tests hold them against brute force.
+have, so there is no ORACLE_SQL; ``tests/llm/test_pipeline.py`` holds every
+stage, and the rows of ``run``, against brute force.
+
+Defined cases, as the operators have them: null and blank texts weigh nothing
+in the quality stage, are near duplicates of each other, lose no words, hold no
+benchmark passage and become one piece with the end id; very long texts are
+read whole; of equal rows one stays, null doc_ids yield to any id; of equal
+scores at the quality threshold all stay; an empty table stays empty; further
+columns are handed through up to packing, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backlist.functions.agg import fixed_point, fixed_sum
-from backlist.functions.clean import null_words, parse_date, parse_money, parse_number, parse_quantity
+from backlist.functions.clean import null_words, null_words_sql, parse_date, parse_money, parse_number, parse_quantity
 from backlist.functions.fmt import pct_text, tidy_name
 from backlist.functions.layouts import elect_layouts, parse_elected
 from backlist.operators import category as cat
@@ -151,7 +151,7 @@ def rendered_export(spark, d) -> DataFrame:
 def q_validate_numeric(spark, d):
     export = rendered_export(spark, d)
     names = tuple(c for c in export.columns if c != "row_id")
-    df = export.select("row_id", *[null_words(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)])
+    df = export.selectExpr("row_id", *[f"{null_words_sql(f'`{c}`')} AS _c{i}" for i, c in enumerate(names)])
     roles = ColumnRoles(names, tuple(SALES_HEADER.format(y=y) for y in YEARS),
                         tuple(QTY_HEADER.format(y=y) for y in YEARS), YEARS)
     _, report = csvc.validate(csvc.RawCatalog(df, roles, "rendered"))
@@ -200,7 +200,7 @@ def _numbered(titles: DataFrame, headers: dict[str, str], **roles) -> csvc.RawCa
     curated titles; ``roles`` are options of ``detect_roles``."""
     names = list(headers)
     text = titles.selectExpr("row_id", *[f"{e} AS _c{i}" for i, e in enumerate(headers.values())])
-    df = text.select("row_id", *[null_words(f"_c{i}").alias(f"_c{i}") for i in range(len(names))])
+    df = text.selectExpr("row_id", *[f"{null_words_sql(f'_c{i}')} AS _c{i}" for i in range(len(names))])
     return csvc.RawCatalog(df, detect_roles(names, YEARS, **roles), "rendered")
 
 

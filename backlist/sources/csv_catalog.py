@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from backlist.functions.clean import (
-    _coerce_double, null_words, parse_date, parse_money, parse_number, parse_quantity,
+    not_money_sql, null_words_sql, parse_date, parse_money_sql, parse_number, parse_quantity_sql,
 )
 from backlist.functions.layouts import elect_layouts, parse_elected
 from backlist.plans.ordinal import with_file_ordinal, with_ordinal
@@ -58,8 +58,11 @@ class RawCatalog:
     source: str
     lines: DataFrame | None = None
 
+    def cell(self, name: str) -> str:
+        return f"_c{self.roles.position(name)}"
+
     def col(self, name: str) -> Column:
-        return F.col(f"_c{self.roles.position(name)}")
+        return F.col(self.cell(name))
 
 
 def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str | None]:
@@ -119,7 +122,7 @@ def read_catalog(spark: SparkSession, path: str | Sequence[str], years: Sequence
         df = with_file_ordinal(scan, "row_id", header=True).withColumn(FAULT, _fault(len(names)))
         df = df.withColumn(CORRUPT, F.when(F.col(FAULT).isNotNull(), F.col(CORRUPT)))
         lines = read_lines(spark, path)
-    df = df.select("row_id", *[null_words(F.col(c)).alias(c) for c in cells], FAULT, CORRUPT)
+    df = df.selectExpr("row_id", *[f"{null_words_sql(c)} AS {c}" for c in cells], FAULT, CORRUPT)
     roles = detect_roles(names, years, mode=mode, sales=sales, quantity=quantity)
     return RawCatalog(df, roles, str(path), lines)
 
@@ -144,12 +147,6 @@ def read_first(spark: SparkSession, paths: Sequence[str], **kw) -> RawCatalog:
     raise CatalogError(f"none of {list(paths)} exists")
 
 
-def _not_numeric(text: Column) -> Column:
-    scrubbed = F.translate(text, "($,) ", "-")
-    v = _coerce_double(scrubbed)
-    return text.isNotNull() & (v.isNull() | F.isnan(v))
-
-
 REPORT_SCHEMA = "check string, severity string, column string, n_bad bigint, n_rows bigint, message string"
 
 
@@ -175,7 +172,7 @@ def _measures(raw: RawCatalog) -> list[Column]:
     has = FAULT in raw.df.columns
     out = [F.count(F.lit(1)).alias("n")]
     out += [F.count_if(F.col(FAULT) == k if has else F.lit(False)).alias(f"f{i}") for i, k in enumerate(FAULTS)]
-    return out + [F.count_if(_not_numeric(raw.col(c))).alias(f"b{i}") for i, c in enumerate(raw.roles.sales)]
+    return out + [F.expr(f"count_if({not_money_sql(raw.cell(c))}) AS b{i}") for i, c in enumerate(raw.roles.sales)]
 
 
 def _measured_report(raw: RawCatalog, stats: DataFrame) -> DataFrame:
@@ -332,12 +329,11 @@ def curate(raw: RawCatalog, strict: bool = True, dates: Sequence[str] = (),
     sales_map, qty_map = r.sales_by_year, r.quantity_by_year
     years = tuple(sorted(sales_map))
     for y in years:
-        cols.append(parse_money(raw.col(sales_map[y])).alias(sales_col(y)))
-        q = parse_quantity(raw.col(qty_map[y])) if y in qty_map else F.lit(0.0)
-        cols.append(q.alias(qty_col(y)))
+        cols.append(F.expr(f"{parse_money_sql(raw.cell(sales_map[y]))} AS {sales_col(y)}"))
+        cols.append(F.expr(f"{parse_quantity_sql(raw.cell(qty_map[y])) if y in qty_map else '0.0D'} AS {qty_col(y)}"))
     latest = r.latest_sales()
     if latest is not None:
-        cols.append(parse_money(raw.col(latest[1])).alias("latest_sales"))
+        cols.append(F.expr(f"{parse_money_sql(raw.cell(latest[1]))} AS latest_sales"))
     else:
         cols.append(F.lit(None).cast("double").alias("latest_sales"))
     rows = raw.df

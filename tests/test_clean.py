@@ -69,3 +69,19 @@ def test_numpy_rounding_and_text(spark):
 def test_tidy_name(spark):
     got = _one(spark, ["exponential_smoothing", "linear"], tidy_name)
     assert got == ["Exponential Smoothing", "Linear"]
+
+
+def test_sql_forms_equal_the_column_forms(spark):
+    from pyspark.sql import functions as F
+
+    from backlist.functions import clean
+    cells = ["$1,234.50", "(500)", "$ (1,000) ", "-", "abc", "nan", "1e3", "1.5d", "1e999", "inf", "-Infinity", " 7 ", "", "NULL",
+             "#N/A", "<NA>", "0x1p3", "1,200", ".5", "5.", "--5", "\\d", None]
+    df = spark.createDataFrame([(c,) for c in cells], "t string")
+    got = df.select("t", F.expr(clean.null_words_sql("t")).alias("a"), clean.null_words("t").alias("a2"),
+                    F.expr(clean.parse_money_sql("t")).alias("b"), clean.parse_money("t").alias("b2"),
+                    F.expr(clean.parse_quantity_sql("t")).alias("c"), clean.parse_quantity("t").alias("c2"),
+                    F.expr(clean.not_money_sql("t")).alias("d")).collect()
+    for r in got:
+        assert (r.a, r.b, r.c) == (r.a2, r.b2, r.c2), r
+    assert {r.t for r in got if r.d} == {"-", "abc", "nan", "1.5d", "1e999", "", "NULL", "#N/A", "<NA>", "0x1p3", "--5", "\\d"}

@@ -20,7 +20,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round replaces each node's larger neighbours' edges by edges to the
     smallest node it sees, so the edge count never grows and the rounds are
-    logarithmic in the longest path.  State between rounds is a written table.
+    logarithmic in the longest path.  State between rounds is a written table,
+    and so are the smallest neighbours: both sides of a join come straight from
+    a shuffle, so the edges of a hub can be split.
     """
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     e = materialize(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct(), "edges")
@@ -29,10 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                            .distinct(), "stars")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         e = materialize(large.join(least, "a")
                         .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                                                   F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))

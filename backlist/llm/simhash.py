@@ -15,9 +15,11 @@ and a cell with more than ``CELL_ROWS`` fingerprints is dealt out as pairs of
 hashed sub-blocks, so no task sees an unbounded group and no link is lost.
 
 Defined cases: null or blank text has fingerprint zero and is linked like any
-other; fewer words than the shingle length make one shingle; repeated doc_ids
-give one row each; null doc_ids take part and yield to any id as component
-id; other columns, whatever their names, are ignored.
+other; fewer words than the shingle length make one shingle; very long texts
+are read whole; repeated doc_ids give one row each, and of rows with one id the
+first by hash counts as a group's first; null doc_ids take part and yield to
+any id as component id; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -186,7 +188,8 @@ def _groups(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, Da
     comp = connected_components(links(fps, distance))
     rooted = fps.join(comp, fps.fp == comp.a, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    # written, so that a large component's rows can be split in the join
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "simhash-firsts")
     return each, rooted.select("fp", "root").join(least, "root").select("fp", "root", "first")
 
 

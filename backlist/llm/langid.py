@@ -7,14 +7,16 @@ weighted loss over the bits, each bit weighted by how well its classifier
 separates left-out rows.  Texts whose two nearest codewords are close are
 flagged as ambiguous.
 
-The classifiers are fitted on at most ``TRAIN_ROWS`` training rows, spread
-evenly over the languages (rare ones enter with all their rows); predictions
-read every whole text.
+The classifiers are fitted on at most ``TRAIN_ROWS`` training rows: of each
+language the same number, those whose ids hash lowest (rare ones enter with all
+their rows, and every one with a row at least); predictions read every whole
+text.
 
 Defined cases: null text or text without a letter is ``und`` with score 0;
 without training rows all is ``und``; one learned language is always
-predicted; repeated rows are predicted row by row; rows with null lang are
-predicted, not learned from; other columns are ignored.
+predicted; of equally near codewords the language that sorts first is; repeated
+rows are predicted row by row; rows with null lang are predicted, not learned
+from; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backlist.llm.common import blocks, encoded, map_arrow, mix
@@ -124,8 +126,11 @@ def fit(docs: DataFrame, learn_from: Column) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())],
                                              ["id", "lang", "x"])
 
-    sample = rows.where(drawn).orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    got = map_arrow(sample, run, "id long, lang string, x binary").collect()  # at most TRAIN_ROWS vectors
+    # the draw leaves few rows more than the limit of each language; the window sees those alone
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    sample = rows.where(drawn).withColumn("k", F.row_number().over(own)).where(F.col("k") <= max(1, TRAIN_ROWS // len(n)))
+    got = map_arrow(sample.drop("k"), run, "id long, lang string, x binary").collect()  # at most TRAIN_ROWS vectors
+    got = sorted(got, key=lambda r: (r["lang"], r["id"] is None, r["id"] or 0))
     x = np.stack([np.frombuffer(bytes(r["x"]), dtype=np.float32) for r in got])
     return Model(x, [r["lang"] for r in got])
 

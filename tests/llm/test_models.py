@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from backlist.llm import forest, langid, quality, toxicity, warc
 from backlist.llm.components import connected_components
-from tests.conftest import SF001, SF0001
+from tests.conftest import SF01, SF001, SF0001
 from tests.llm.conftest import text
 
 import corpus_pipeline
@@ -41,6 +41,37 @@ def test_quality_odd_rows(odd_docs, odd_rows, labels, no_docs, no_labels):
     assert quality.resample(no_docs, labels).count() == quality.keep_good(no_docs, no_labels).count() == 0
 
 
+def test_weights_equal_brute_force(spark):
+    """Counts of words and pairs in plain dictionaries."""
+    rng = random.Random(9)
+    rows = [(i, text(rng, rng.randint(0, 60)).replace("ba", "Ba")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+
+    def bag(t):
+        w = t.lower().split()
+        return Counter([*w, *zip(w, w[1:])])
+
+    def bucket(g):
+        b, _, _ = quality.features([(g if isinstance(g, str) else " ".join(g)).encode()])
+        return int(b[-1])
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        for g, n in bag(t).items():
+            raw[bucket(g)] += n
+            good[bucket(g)] += n * (i < 60 and i % 2 == 1)
+    size = quality.BUCKETS
+    total = [sum(c.values()) + size for c in (raw, good)]
+    for i, t in rows:
+        want = sum(n * np.log((good[bucket(g)] + 1) / total[1] / ((raw[bucket(g)] + 1) / total[0])) for g, n in bag(t).items())
+        assert got[i].log_weight == pytest.approx(want, abs=1e-9)
+    keep = round((0.5 + quality.RESERVE) * len(rows))
+    assert sum(r.selected for r in got.values()) == keep
+    assert min(r.score for r in got.values() if r.selected) >= max(r.score for r in got.values() if not r.selected)
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     vals = [rng.getrandbits(64) - (1 << 63) for _ in range(500)] + [7] * 20 + [-1, 0, 1]
@@ -95,9 +126,11 @@ def test_toxicity_evidence_is_over_the_whole_vocabulary(spark):
     got = toxicity.toxicity(docs, labels).collect()
     texts = {r.doc_id: r.text.lower().replace(",", " , ").split() for r in docs.collect()}
     examples = [i for i in texts if not held(i, 4, 2)]
+    known = {w for i in examples for w in texts[i]}
     df = Counter(w for t in texts.values() for w in set(t))
-    words = sorted({w for i in examples for w in texts[i]})
-    idf = np.log((1 + len(texts)) / (1 + np.array([df[w] for w in words]))) + 1
+    words = sorted(df)
+    # a word that no example has weighs as one of no document
+    idf = np.log((1 + len(texts)) / (1 + np.array([df[w] if w in known else 0 for w in words]))) + 1
     v = {}
     for i, t in texts.items():
         n = Counter(t)
@@ -109,6 +142,59 @@ def test_toxicity_evidence_is_over_the_whole_vocabulary(spark):
         assert all(abs(x.similarity - v[r.doc_id] @ v[x.doc_id]) < 1e-9 for x in r.evidence)
 
 
+def test_blocks_are_skipped(spark):
+    """Examples of four vocabularies: a search leaves out most blocks, and finds
+    what a search of all would."""
+    rng, rows = random.Random(6), []
+    for i in range(3000):
+        own = ["abcd"[i % 4] + "rstuvw"[k // 50] + "klmnopq"[k % 7] + "efghijkl"[k % 50 // 7] for k in rng.choices(range(300), k=60)]
+        rows.append((i, " ".join([*own, "the", ".", "vile" if i % 10 == 0 else "fine"]), int(i % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert m.n_blocks > 8
+    m.searches = m.visited = 0
+    w = np.zeros((len(m.ids), len(m.terms)))
+    for t in range(len(m.terms)):
+        at = slice(m.begin[t * (m.n_blocks + 1)], m.begin[(t + 1) * (m.n_blocks + 1)])
+        w[m.example[at], t] = m.w[at]
+    for e in range(0, len(m.ids), 60):
+        term = np.flatnonzero(w[e])
+        q = m.vector(term, np.ones(len(term)))
+        best, sim = m.nearest(term, q, 15)
+        s = w[:, term] @ q
+        assert np.allclose(np.sort(s)[::-1][:15], sim) and np.allclose(s[best], sim)
+    assert m.visited < 0.5 * m.searches * m.n_blocks
+
+
+def test_score_equals_brute_force(spark):
+    """Votes and the calibrated curve, from plain vectors and all pairs."""
+    docs, labels = toxic_docs(spark)
+    model = toxicity.learn(docs, labels, ~F.coalesce(toxicity.remainder(4) == 2, F.lit(False)))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+
+    def vote(index, data):
+        h, _ = toxicity.term_counts([data])
+        counts = Counter(h.tolist())
+        known = {int(t): k for k, t in enumerate(index.terms)}
+        v = {known[t]: (1 + np.log(n)) * index.idf[known[t]] for t, n in counts.items() if t in known}
+        if not v:
+            return 0.0, 0.0
+        s = np.zeros(len(index.ids))
+        for t, x in v.items():
+            for p in range(index.begin[t * (index.n_blocks + 1)], index.begin[(t + 1) * (index.n_blocks + 1)]):
+                s[index.example[p]] += x * index.w[p]
+        best = np.lexsort((index.ids, -s))[:15]
+        best = best[s[best] > 0]
+        return float((s[best] * (2.0 * index.toxic[best] - 1)).sum() / s[best].sum()), 1.0
+
+    for i in list(texts)[::7]:
+        a, _ = vote(model.index, texts[i])
+        b, some = vote(model.chosen, texts[i])
+        want = 1 / (1 + np.exp(-np.dot([1.0, a, b, some], model.a)))
+        assert got[i].score == pytest.approx(want, abs=1e-9), i
+
+
 def test_toxicity_odd_rows(odd_docs, odd_rows, labels, no_docs, no_labels):
     assert toxicity.toxicity(odd_docs, labels).count() == len(odd_rows)
     assert {r.score for r in toxicity.toxicity(odd_docs, no_labels).collect()} == {0.0}
@@ -136,6 +222,36 @@ def test_language_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert {r.doc_id: r.lang_pred for r in langid.identify(signs).collect()} == {1: "und", 2: "xx"}
 
 
+def test_a_language_of_one_row_is_learned(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
+    one = next(i for i in range(10**6, 10**6 + 50) if not held(i, 5, 0))
+    rare = spark.createDataFrame([(one, "ψωξ δφγ ηθκ λμν πρσ τυ " * 9, "xx")], docs.schema)
+    model = langid.fit(docs.unionByName(rare), F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    assert "xx" in model.langs
+    got = langid.predict(rare.withColumn("text", F.lit("ηθκ ψωξ λμν")), model).first()
+    assert got.lang_pred == "xx"
+
+
+def test_predictions_equal_brute_force(spark):
+    """Ridge scores from the normal equations, decoded one row at a time."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").where("doc_id < 300")
+    model = langid.fit(docs, F.col("doc_id") % 3 != 0)
+    names = sorted(model.langs)
+    assert list(model.langs) == names
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in docs.where("doc_id % 10 = 0").collect():
+        grams, t = Counter(), b" " + r.text.encode().lower() + b" "
+        x = langid.ngram_vectors([r.text.encode()])[0]
+        assert abs(float(x @ x) - 1) < 1e-5 and not grams and t
+        losses = []
+        for k in range(len(names)):
+            losses.append(sum(w * max(0.0, 1 - float(x @ model.w[:, b]) * c) ** 2 for b, (w, c) in enumerate(zip(model.weight, model.code[k]))))
+        best = int(np.argmin(losses))
+        assert got[r.doc_id].lang_pred == names[best]
+        p = np.exp(-4 * np.array(losses))
+        assert got[r.doc_id].score == pytest.approx(p[best] / p.sum(), rel=1e-4)
+
+
 @pytest.mark.parametrize("n", [2, 4, 20])
 def test_codewords_differ(n):
     c = langid.codewords(n)
@@ -165,6 +281,22 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_reads_in_parallel_and_splits_a_hot_payload(spark, monkeypatch):
+    """A task for each file; clashing column names; a third of the pages alike."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rng = random.Random(2)
+    rows = [(i, "u", "<p>hot</p>" if i % 3 == 0 else text(rng, 60), f"s{i}", i, "r") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string, size long, response_id string")
+    folder = warc.shared_dir(spark, "warc-test")
+    manifest = warc.write(pages, folder)
+    back = warc.read(manifest)
+    assert back.rdd.getNumPartitions() == manifest.count() > 4
+    each = back.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert min(each) > 0 and sum(each) == 600
+    hot = [r for r in back.collect() if r.page_id % 3 == 0]
+    assert {r.refers_to for r in hot if r.record_type == "revisit"} == {597} and len(hot) == 200
+
+
 def test_warc_reader_rejects_damage():
     good = warc.record(1, "u", b"data", warc.sha1_text(b"data"), None, False)
     assert warc.page_of(*warc.parse(good))[2] == b"data"
@@ -191,6 +323,31 @@ def test_neighbours_recall(spark):
     assert hit / (5 * len(queries)) >= 0.9
 
 
+def test_neighbours_recall_over_shards(spark, monkeypatch):
+    """2,000 vectors in eight shards, half of each looked at."""
+    monkeypatch.setattr(forest, "SHARD_ROWS", 256)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 16)
+    vectors = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    got = {}
+    for r in forest.search(vectors, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = vectors.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for i, q in got.items():
+        s = np.where(ids == i, -2, x @ x[ids == i][0])
+        hit += len(q & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert len(got) == 40 and 0.9 <= hit / 200 < 1  # pruned, and near
+
+
+def test_neighbours_of_repeated_query_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [1.0, 0.01 * i]) for i in range(1, 7)] + [(9, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.search(df, F.col("vec_id") == 0, k=2).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 1), (1, 9), (2, 2), (2, 6)]
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
@@ -205,6 +362,14 @@ def test_neighbours_odd_rows(spark):
 
 # ---- components, pipeline
 
+def test_components_of_a_hub(spark):
+    """A third of all links at one node; both sides of each join can be split."""
+    edges = [(0, k) for k in range(1, 3001)] + [(10_000 + 2 * k, 10_001 + 2 * k) for k in range(3000)] + [(3000, 10_000)]
+    got = {r.a: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[k] == 0 for k in range(1, 3001)) and got[10_000] == got[10_001] == 0
+    assert all(got[10_001 + 2 * k] == 10_000 + 2 * k for k in range(1, 3000))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(200, 100), (100, 150), (7, 7)]
     got = {r.a: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -191,7 +191,7 @@ def brute_leaks(docs, items):
         for item, it in items:
             b = (it or "").lower().split()
             n = min(13, len(b))
-            if len(b) < decontaminate.SPAN + decontaminate.STRIDE - 1:
+            if not b:
                 continue
             for s in range(-len(b) + 1, len(w)):
                 m = [0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(b)]
@@ -241,6 +241,38 @@ def test_decontamination_finds_every_substitution(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 200
 
 
+def test_rows_without_id_share_no_hits(spark):
+    """A third of the rows under null id: each has its own text's hits alone."""
+    rng = random.Random(12)
+    items = [(k, text(rng, 20)) for k in range(30)]
+    docs = [(None if k % 3 == 0 else k, f"{text(rng, 5)} {items[k % 40][1] if k % 40 < 30 else text(rng, 20)}", "x", "y") for k in range(240)]
+    docs += [(None, docs[0][1], "x", "y")] * 60
+    df = spark.createDataFrame(docs, "doc_id long, text string, u1 string, candidates string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    judged = decontaminate.judged(df, bench).collect()
+    assert len(judged) == 300 and max(len(r.hits) for r in judged) == 1
+    clean = decontaminate.keep_clean(df, bench)
+    assert clean.columns == df.columns
+    assert sorted(r.text for r in clean.collect()) == sorted(t for k, (_, t, _, _) in enumerate(docs) if k < 240 and k % 40 >= 30)
+
+
+def test_repeated_hot_rows_go_once_to_a_shard(spark, monkeypatch):
+    """4,000 equal rows without id: the searched groups hold distinct segments."""
+    rng = random.Random(13)
+    hot, sizes = text(rng, 120), []
+    real = substring.mark_shard
+
+    def seen(texts, windows, weight):
+        assert len(set(texts)) == len(texts)
+        return real(texts, windows, weight)
+
+    monkeypatch.setattr(substring, "mark_shard", seen)
+    rows = [(None, hot)] * 4000 + [(k, text(rng, 50)) for k in range(40)] + [(99, hot[:len(hot) // 2])]
+    got = substring.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.n_removed == 120 for r in got) == 4000 and not sizes
+    assert all(r.n_removed == 0 for r in got if r.doc_id is not None and r.doc_id < 40)
+
+
 def test_decontamination_masks_fit_beside_all_substitutions():
     for n, masks in decontaminate.MASKS.items():
         for gone in combinations(range(n), n - -(-n * 8 // 10)):

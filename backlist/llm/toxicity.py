@@ -3,12 +3,13 @@
 At most ``LABELLED_ROWS`` labelled documents (both classes evenly, ids that
 hash lowest) are the examples.  They are indexed over all their terms, with
 inverse document frequencies counted over all documents; a document's terms
-that no example has are left out of its vector.  Postings stand in blocks with
-each term's largest weight per block: a search visits blocks by falling upper
-bound and stops when no block can reach the k-th best similarity, so it finds
-exactly the k nearest (ties to the smaller doc_id).  Over all terms there is
-one block, as common terms leave nothing to skip.  The neighbours are returned
-as evidence.
+that no example has weigh as those of no document, and count in its norm.
+Postings stand in blocks of at most ``BLOCK`` examples that are alike (parted
+again and again along their first principal direction), with each term's
+largest weight per block: a search visits the two blocks of the largest upper
+bounds, then those whose bound reaches the k-th best similarity so far, so it
+finds exactly the k nearest (ties to the smaller doc_id).  The neighbours are
+returned as evidence.
 
 The score has two votes, weighted by similarity: of these neighbours, and of
 the nearest under the chosen terms alone, whose chi-square against the label is
@@ -17,10 +18,11 @@ class's examples, at most ``TERMS`` of them.  A logistic curve, fitted on
 left-out votes of the examples with the classes' true shares, calibrates them.
 
 Defined cases: a text without any term of the examples (null and empty ones
-too) has no neighbours and a vote of 0; without labelled rows of both classes every score is the
-labelled share of toxic rows (0 without any); repeated rows are scored row by
-row; contradicting labels of a doc_id count as toxic; other columns are
-ignored.
+too) has no neighbours and a vote of 0; without labelled rows of both classes
+every score is the labelled share of toxic rows (0 without any); very long
+texts are scored whole; repeated rows are scored row by row; contradicting
+labels of a doc_id count as toxic; equal votes give equal scores; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ LABELLED_ROWS = 4_000
 TERMS = 1_024
 SUPPORT = 0.01  # a term stands in this share of one class's examples at least
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
+DIRECTIONS = 1_024  # the terms, heaviest first, by which examples are judged alike
 THRESHOLD = 0.3
 
 
@@ -67,24 +70,55 @@ def _chosen(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return term[order[fit_[order]][:TERMS]]
 
 
+def alike(example: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, block: int) -> list[np.ndarray]:
+    """The n examples in blocks of at most so many, each of alike ones."""
+    heavy = np.argsort(-np.bincount(term, w * w), kind="stable")[:DIRECTIONS]
+    place = np.full(int(term.max()) + 1, -1)
+    place[heavy] = np.arange(len(heavy))
+    x = np.zeros((n, len(heavy)), dtype=np.float32)
+    some = place[term] >= 0
+    x[example[some], place[term[some]]] = w[some]
+    out, todo = [], [np.arange(n)]
+    while todo:
+        part = todo.pop()
+        if len(part) <= block:
+            out.append(part)
+            continue
+        c = x[part] - x[part].mean(axis=0)
+        v = c[int(np.argmax((c * c).sum(axis=1)))]
+        for _ in range(12):  # power iteration towards the first principal direction
+            v = c.T @ (c @ v)
+            v = v / max(float(np.sqrt(v @ v)), 1e-30)
+        along = c @ v
+        order = np.argsort(along, kind="stable")
+        # at the widest gap, an eighth of the part away from its ends
+        lo = max(len(part) // 8, 1)
+        cut = lo + int(np.argmax(np.diff(along[order])[lo - 1:len(part) - lo]))
+        todo += [part[order[cut:]], part[order[:cut]]]
+    return out
+
+
 class Index:
     """Block-max inverted index of the examples' TF-IDF vectors."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray,
-                 example: np.ndarray, term: np.ndarray, tf: np.ndarray, block: int = BLOCK) -> None:
-        self.terms, self.idf, self.ids, self.toxic = terms, idf, ids, toxic
+                 example: np.ndarray, term: np.ndarray, tf: np.ndarray, blocks: np.ndarray, unseen: float = 0.0) -> None:
+        """``blocks`` has each example's block, ascending; ``unseen`` is the
+        weight of a term that stands in no document."""
+        self.terms, self.idf, self.ids, self.toxic, self.unseen = terms, idf, ids, toxic, unseen
         w = (1 + np.log(tf)) * idf[term]
         norm = np.sqrt(np.bincount(example, w * w, len(ids)))
         w = w / norm[example]
         order = np.lexsort((example, term))
         self.example, term, self.w = example[order], term[order], w[order]
-        self.n_blocks = -(-len(ids) // block)
-        block = self.example // block
+        self.n_blocks = int(blocks[-1]) + 1
+        block = blocks[self.example]
         self.begin = np.searchsorted(term * (self.n_blocks + 1) + block,
                                      np.arange(len(terms) * (self.n_blocks + 1) + 1)).astype(np.int32)
-        self.top = np.zeros((len(terms), self.n_blocks))
-        np.maximum.at(self.top, (term, block), self.w)
+        self.top = np.zeros((len(terms), self.n_blocks), dtype=np.float32)
+        np.maximum.at(self.top, (term, block), np.nextafter(self.w.astype(np.float32), np.float32(2)))  # never below
         self.known = None
+        self.searches = self.visited = 0  # blocks visited, by all searches
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each term, -1 where the index hasn't it."""
@@ -96,45 +130,59 @@ class Index:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": None}
 
-    def queries(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(terms, counts, begin of each document)`` of n documents."""
+    def queries(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(terms, counts, begin of each document, sum of squares of the terms
+        that the index hasn't)`` of n documents."""
         k = self.find(hashes)
         pair, tf = np.unique(doc[k >= 0] * len(self.terms) + k[k >= 0], return_counts=True)
-        return pair % len(self.terms), tf, np.searchsorted(pair, np.arange(n + 1) * len(self.terms))
-
-    def vector(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return pair % len(self.terms), tf, np.searchsorted(pair, np.arange(n + 1) * len(self.terms)), \
+            self.strange(hashes[k < 0], doc[k < 0], n)
+
+    def strange(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Sum of squares, for each document, of terms that no example has."""
+        order = np.lexsort((hashes, doc))
+        h, d = hashes[order], doc[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        at = np.flatnonzero(new)
+        tf = np.diff(np.append(at, len(h)))
+        return np.bincount(d[at], ((1 + np.log(tf)) * self.unseen) ** 2, n)
+
+    def vector(self, term: np.ndarray, tf: np.ndarray, strange: float = 0.0) -> np.ndarray:
         w = (1 + np.log(tf)) * self.idf[term]
-        return w / np.sqrt((w * w).sum())
+        return w / np.sqrt((w * w).sum() + strange)
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """``(examples, similarities)`` of the k nearest, nearest first."""
-        bound = w @ self.top[term]
+        bound = (w.astype(np.float32) @ self.top[term]) * np.float32(1 + 1e-5)  # above all rounding
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, sim = np.zeros(0, np.int64), np.zeros(0)
-        at, width = 0, 2
-        while at < len(order):
-            least = sim[k - 1] if len(sim) >= k else 0.0
-            if bound[order[at]] < least * (1 - 1e-12):
-                break
-            some = order[at:at + width]
-            at, width = at + width, width * 2
-            lo = self.begin[(term * (self.n_blocks + 1))[:, None] + some]
-            hi = self.begin[(term * (self.n_blocks + 1))[:, None] + some + 1]
-            size = (hi - lo).ravel()
+        # the two most promising blocks, then all that the k-th best leaves in reach
+        some, rest, base = order[:2], order[2:], term * (self.n_blocks + 1)
+        self.searches += 1
+        while len(some):
+            self.visited += len(some)
+            at = base[:, None] + some
+            lo = self.begin[at]
+            size = self.begin[at + 1] - lo
+            has = size > 0
+            lo, each_w = lo[has], np.broadcast_to(w[:, None], size.shape)[has]
+            size = size[has]
             total = np.cumsum(size)
-            p = np.repeat(lo.ravel() - total + size, size) + np.arange(total[-1])
-            e = self.example[p]
-            part = self.w[p] * np.repeat(np.repeat(w, len(some)), size)
-            s = np.bincount(e, part, len(self.ids))
+            p = np.repeat(lo - total + size, size) + np.arange(total[-1])
+            s = np.bincount(self.example[p], self.w[p] * np.repeat(each_w, size), len(self.ids))
             each = np.flatnonzero(s)
+            each = each[each != but]
             s = s[each]
-            keep = each != but
             if len(s) > 4 * k:  # all that the k best can be among, ties too
-                keep &= s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-            best, sim = np.concatenate([best, each[keep]]), np.concatenate([sim, s[keep]])
-            rank = np.lexsort((best, -sim))[:k]
+                near = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                each, s = each[near], s[near]
+            best, sim = np.concatenate([best, each]), np.concatenate([sim, s])
+            rank = np.lexsort((self.ids[best], -sim))[:k]
             best, sim = best[rank], sim[rank]
+            least = sim[k - 1] if len(sim) >= k else 0.0
+            some, rest = rest[bound[rest] >= least * (1 - 1e-12)], rest[:0]
         return best, np.minimum(sim, 1.0)
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
@@ -180,6 +228,7 @@ class Model:
         if not (k >= 0).any():
             return np.zeros(0, np.int64), np.zeros(0)
         term = k[k >= 0].astype(np.int64)
+        # an example's own terms are all known to the index of the whole vocabulary
         return index.nearest(term, index.vector(term, tf[k >= 0]), NEIGHBOURS, but)
 
     def features(self, near: tuple, told: tuple | None) -> list[float]:
@@ -224,29 +273,37 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model | flo
     if len({r["toxic"] for r in rows}) < 2:
         return bad / seen
     sets = [np.frombuffer(bytes(r["h"]), dtype=np.uint64) for r in rows]
-    toxic = np.array([r["toxic"] == 1 for r in rows])
     counts = [np.frombuffer(bytes(r["n"]), dtype=np.int32) for r in rows]
     terms = np.unique(np.concatenate(sets))
     if not len(terms):
         return bad / seen
-    idf = _idf(docs, terms)
-    ids = np.array([r["id"] for r in rows])
+    idf, unseen = _idf(docs, terms)
 
-    def indexed(some: np.ndarray, block: int) -> Index:
+    def postings(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = np.argsort(some)
         place = np.full(len(terms), -1)
         place[np.searchsorted(terms, some[own])] = own
         k = place[np.searchsorted(terms, np.concatenate(sets))]
-        example = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
-        return Index(some, idf[np.searchsorted(terms, some)], ids, toxic, example[k >= 0], k[k >= 0],
-                     np.concatenate(counts)[k >= 0], block)
+        example = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        return example[k >= 0], k[k >= 0], np.concatenate(counts)[k >= 0]
+
+    # blocks hold examples that are alike
+    example, term, tf = postings(terms)
+    groups = alike(example, term, (1 + np.log(tf)) * idf[term], len(rows), BLOCK)
+    order, of = np.concatenate(groups), np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    rows, sets, counts = ([x[i] for i in order] for x in (rows, sets, counts))
+    toxic, ids = np.array([r["toxic"] == 1 for r in rows]), np.array([r["id"] for r in rows])
+
+    def indexed(some: np.ndarray) -> Index:
+        return Index(some, idf[np.searchsorted(terms, some)], ids, toxic, *postings(some), of, unseen)
 
     chosen = _chosen(sets, toxic)
-    return Model(indexed(terms, LABELLED_ROWS), indexed(chosen, BLOCK) if len(chosen) else None, sets, counts, bad / seen)
+    return Model(indexed(terms), indexed(chosen) if len(chosen) else None, sets, counts, bad / seen)
 
 
-def _idf(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """Inverse document frequencies over all documents."""
+def _idf(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse document frequencies over all documents, and that of a term
+    which stands in none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, n = HashIndex(1 << max(14, (2 * len(terms)).bit_length())), np.zeros(len(terms), dtype=np.int64), 0
@@ -263,7 +320,7 @@ def _idf(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     n = np.zeros(len(terms) + 1)
     for r in map_arrow(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         n[r["term"] + 1] = r["n"]  # one row per term of the examples
-    return np.log((1 + n[0]) / (1 + n[1:])) + 1
+    return np.log((1 + n[0]) / (1 + n[1:])) + 1, float(np.log(1 + n[0]) + 1)
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -280,10 +337,10 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
                 for index in (model.index, model.chosen):
                     found.append([none] * n)
                     if index:
-                        term, tf, cut = index.queries(h, doc, n)
+                        term, tf, cut, strange = index.queries(h, doc, n)
                         for d, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
                             if j > i:
-                                found[-1][d] = index.nearest(term[i:j], index.vector(term[i:j], tf[i:j]), NEIGHBOURS)
+                                found[-1][d] = index.nearest(term[i:j], index.vector(term[i:j], tf[i:j], strange[d]), NEIGHBOURS)
                 near = found[0]
                 out = [model.score(*x) for x in zip(*found)]
             best, sim = np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])

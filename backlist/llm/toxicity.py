@@ -136,7 +136,7 @@ class Index:
         k = self.find(hashes)
         pair, tf = np.unique(doc[k >= 0] * len(self.terms) + k[k >= 0], return_counts=True)
         return pair % len(self.terms), tf, np.searchsorted(pair, np.arange(n + 1) * len(self.terms)), \
-            self.strange(hashes[k < 0], doc[k < 0], n)
+            self.strange(hashes[k < 0], doc[k < 0], n) if self.unseen else np.zeros(n)
 
     def strange(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         """Sum of squares, for each document, of terms that no example has."""
@@ -294,11 +294,12 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model | flo
     rows, sets, counts = ([x[i] for i in order] for x in (rows, sets, counts))
     toxic, ids = np.array([r["toxic"] == 1 for r in rows]), np.array([r["id"] for r in rows])
 
-    def indexed(some: np.ndarray) -> Index:
+    def indexed(some: np.ndarray, unseen: float) -> Index:
         return Index(some, idf[np.searchsorted(terms, some)], ids, toxic, *postings(some), of, unseen)
 
     chosen = _chosen(sets, toxic)
-    return Model(indexed(terms), indexed(chosen) if len(chosen) else None, sets, counts, bad / seen)
+    # among the chosen terms a norm changes no vote, so theirs counts no others
+    return Model(indexed(terms, unseen), indexed(chosen, 0.0) if len(chosen) else None, sets, counts, bad / seen)
 
 
 def _idf(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, float]:

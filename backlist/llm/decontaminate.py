@@ -14,11 +14,16 @@ Only the benchmark's seeds are broadcast, and only after they were counted
 (``BROADCAST_SEEDS``); a larger benchmark is joined by shuffle with the same
 result.
 
+Hits are gathered by the row, told by two hashes of id and text: rows without
+id, or of one id, share none.
+
 Defined cases: words are runs without ASCII white space, in lower case; null
-texts have none; items of any length are searched
-(up to four words as they stand), those without words are not; items of equal words count as one and
-report their smallest id; repeated rows and rows without doc_id are judged
-row by row; columns of any other name pass through untouched.
+texts have none; very long texts are searched whole; items of any length are
+searched (up to four words as they stand), those without words are not; items
+of equal words count as one and report their smallest id; of equal overlaps
+with an item the first is reported; repeated rows and rows without doc_id are
+judged row by row; without documents or items there are no overlaps; columns
+of any other name pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from backlist.llm.common import materialize
+
 SPAN = 8  # of the mask for items of WINDOW words and more
 STRIDE = 1
 # By least(WINDOW, words of the item): masks of which one fits beside any
@@ -117,14 +124,16 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_seeds = item_seeds.distinct()
     if n <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), words(F.col("text")).alias("words"))
-    hits = (_seed_rows(texts, ["id"], {m: F.lit(True) for m in masks}).join(item_seeds, "seed")
-            .select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
-    found = (hits.join(items, "item_id").groupBy("id")
-             .agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("candidates")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = rows.join(found.withColumnRenamed("id", "hit_id"), F.col("id").eqNullSafe(F.col("hit_id"))
-                       & F.col("candidates").isNotNull(), "left")
+    identity = [F.xxhash64("doc_id", "text").alias("u1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("u2")]
+    texts = docs.select(*identity, words(F.col("text")).alias("words"))
+    hits = (_seed_rows(texts, ["u1", "u2"], {m: F.lit(True) for m in masks}).join(item_seeds, "seed")
+            .select("u1", "u2", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    # a list has one text's hits; written, so that both sides of the join come
+    # straight from a shuffle and the rows of one text can be split
+    found = materialize(hits.join(items, "item_id").groupBy("u1", "u2")
+                        .agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("candidates")), "seed-hits")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *identity)
+    joined = rows.join(found.hint("merge"), ["u1", "u2"], "left")  # by the same plan at every size
     some = _verified(F.col("words"), F.col("candidates"))
     hit = F.transform(some, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"),
                                                c["item_words"].alias("item_words"),

@@ -5,11 +5,11 @@ hash lowest) are the examples.  They are indexed over all their terms, with
 inverse document frequencies counted over all documents; a document's terms
 that no example has weigh as those of no document, and count in its norm.
 Postings stand in blocks of at most ``BLOCK`` examples that are alike (parted
-again and again along their first principal direction), with each term's
-largest weight per block: a search visits the two blocks of the largest upper
-bounds, then those whose bound reaches the k-th best similarity so far, so it
-finds exactly the k nearest (ties to the smaller doc_id).  The neighbours are
-returned as evidence.
+again and again along their first principal direction), with each heavy term's
+largest weight per block: a search adds up the short lists of the rarer terms,
+visits the two blocks of the largest upper bounds, then those whose bound
+reaches the k-th best similarity so far, so it finds exactly the k nearest
+(ties to the smaller doc_id).  The neighbours are returned as evidence.
 
 The score has two votes, weighted by similarity: of these neighbours, and of
 the nearest under the chosen terms alone, whose chi-square against the label is
@@ -43,6 +43,9 @@ TERMS = 1_024
 SUPPORT = 0.01  # a term stands in this share of one class's examples at least
 NEIGHBOURS = 15
 BLOCK = 256
+AT_ONCE, POSTINGS = 64, 1 << 20  # documents searched together, and their short lists' postings but for one document
+ABOVE = 1 + 1e-9  # above all rounding
+HEAVY = 1 / 16  # the share of the examples from which a term's list is read by blocks
 DIRECTIONS = 1_024  # the terms, heaviest first, by which examples are judged alike
 THRESHOLD = 0.3
 
@@ -98,8 +101,20 @@ def alike(example: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, block: i
     return out
 
 
+def _largest(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, -1 where a row is shorter."""
+    at = x.shape[-1] - k
+    return np.partition(x, at, axis=-1)[..., at] if at >= 0 else np.full(x.shape[:-1], -1.0)
+
+
 class Index:
-    """Block-max inverted index of the examples' TF-IDF vectors."""
+    """Block-max inverted index of the examples' TF-IDF vectors.
+
+    Terms in fewer than ``HEAVY`` of the examples have short lists, which a
+    search adds up whole.  Those of the heavy terms stand block by block with
+    their largest weights, and are read only where these, with the sums so far,
+    can reach the k-th best.
+    """
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, toxic: np.ndarray,
                  example: np.ndarray, term: np.ndarray, tf: np.ndarray, blocks: np.ndarray, unseen: float = 0.0) -> None:
@@ -109,14 +124,20 @@ class Index:
         w = (1 + np.log(tf)) * idf[term]
         norm = np.sqrt(np.bincount(example, w * w, len(ids)))
         w = w / norm[example]
-        order = np.lexsort((example, term))
-        self.example, term, self.w = example[order], term[order], w[order]
         self.n_blocks = int(blocks[-1]) + 1
-        block = blocks[self.example]
-        self.begin = np.searchsorted(term * (self.n_blocks + 1) + block,
-                                     np.arange(len(terms) * (self.n_blocks + 1) + 1)).astype(np.int32)
-        self.top = np.zeros((len(terms), self.n_blocks), dtype=np.float32)
-        np.maximum.at(self.top, (term, block), np.nextafter(self.w.astype(np.float32), np.float32(2)))  # never below
+        self.edge = np.searchsorted(blocks, np.arange(self.n_blocks + 1))
+        df = np.bincount(term, minlength=len(terms))
+        self.heavy = np.full(len(terms), -1)
+        big = np.flatnonzero(df >= HEAVY * len(ids))
+        self.heavy[big] = np.arange(len(big))
+        at = self.heavy[term]
+        self.dense = np.zeros((len(big), len(ids)))
+        self.dense[at[at >= 0], example[at >= 0]] = w[at >= 0]
+        self.top = np.maximum.reduceat(self.dense, self.edge[:-1], axis=1)
+        example, term, w = example[at < 0], term[at < 0], w[at < 0]
+        order = np.lexsort((example, term))
+        self.example, self.w = example[order], w[order]
+        self.begin = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.known = None
         self.searches = self.visited = 0  # blocks visited, by all searches
 
@@ -148,42 +169,78 @@ class Index:
         tf = np.diff(np.append(at, len(h)))
         return np.bincount(d[at], ((1 + np.log(tf)) * self.unseen) ** 2, n)
 
-    def vector(self, term: np.ndarray, tf: np.ndarray, strange: float = 0.0) -> np.ndarray:
+    def vectors(self, term: np.ndarray, tf: np.ndarray, cut: np.ndarray, strange: np.ndarray) -> np.ndarray:
+        """The weights of the documents' terms, in vectors of length 1."""
         w = (1 + np.log(tf)) * self.idf[term]
-        return w / np.sqrt((w * w).sum() + strange)
+        doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        return w / np.sqrt(np.bincount(doc, w * w, len(cut) - 1) + strange)[doc]
+
+    def vector(self, term: np.ndarray, tf: np.ndarray, strange: float = 0.0) -> np.ndarray:
+        return self.vectors(term, tf, np.array([0, len(term)]), np.array([strange]))
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """``(examples, similarities)`` of the k nearest, nearest first."""
-        bound = (w.astype(np.float32) @ self.top[term]) * np.float32(1 + 1e-5)  # above all rounding
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, sim = np.zeros(0, np.int64), np.zeros(0)
+        """``(examples, similarities)`` of one document's k nearest, nearest first."""
+        return self.nearest_of(term, w, np.array([0, len(term)]), k, np.array([but]))[0]
+
+    def nearest_of(self, term: np.ndarray, w: np.ndarray, cut: np.ndarray, k: int,
+                   but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of the documents whose terms ``cut`` parts, each without
+        the example that ``but`` names (-1: none)."""
+        n, out, i = len(cut) - 1, [], 0
+        but = np.full(n, -1) if but is None else but
+        short = np.where(self.heavy[term] < 0, self.begin[term + 1] - self.begin[term], 0)
+        total = np.append(0, np.cumsum(short))[cut]
+        while i < n:
+            j = max(i + 1, min(i + AT_ONCE, int(np.searchsorted(total, total[i] + POSTINGS, side="right")) - 1))
+            out += self._nearest(term, w, cut[i:j + 1], k, but[i:j])
+            i = j
+        return out
+
+    def _nearest(self, term: np.ndarray, w: np.ndarray, cut: np.ndarray, k: int, but: np.ndarray) -> list:
+        n, m = len(cut) - 1, len(self.ids)
+        term, w, cut = term[cut[0]:cut[-1]], w[cut[0]:cut[-1]], cut - cut[0]
+        doc, at = np.repeat(np.arange(n), np.diff(cut)), self.heavy[term]
+        big = at >= 0
+        heavy = np.zeros((n, len(self.dense)))
+        heavy[doc[big], at[big]] = w[big]
+        # the short lists, whole
+        lo = self.begin[term[~big]]
+        size = self.begin[term[~big] + 1] - lo
+        p = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sums = np.bincount(np.repeat(doc[~big] * m, size) + self.example[p], self.w[p] * np.repeat(w[~big], size), n * m)
+        sums = sums.reshape(n, m)
+        bound = (np.maximum.reduceat(sums, self.edge[:-1], axis=1) + heavy @ self.top) * ABOVE
         # the two most promising blocks, then all that the k-th best leaves in reach
-        some, rest, base = order[:2], order[2:], term * (self.n_blocks + 1)
-        self.searches += 1
-        while len(some):
-            self.visited += len(some)
-            at = base[:, None] + some
-            lo = self.begin[at]
-            size = self.begin[at + 1] - lo
-            has = size > 0
-            lo, each_w = lo[has], np.broadcast_to(w[:, None], size.shape)[has]
-            size = size[has]
-            total = np.cumsum(size)
-            p = np.repeat(lo - total + size, size) + np.arange(total[-1])
-            s = np.bincount(self.example[p], self.w[p] * np.repeat(each_w, size), len(self.ids))
-            each = np.flatnonzero(s)
-            each = each[each != but]
-            s = s[each]
-            if len(s) > 4 * k:  # all that the k best can be among, ties too
-                near = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                each, s = each[near], s[near]
-            best, sim = np.concatenate([best, each]), np.concatenate([sim, s])
-            rank = np.lexsort((self.ids[best], -sim))[:k]
-            best, sim = best[rank], sim[rank]
-            least = sim[k - 1] if len(sim) >= k else 0.0
-            some, rest = rest[bound[rest] >= least * (1 - 1e-12)], rest[:0]
-        return best, np.minimum(sim, 1.0)
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :2]
+        todo = np.zeros((n, self.n_blocks), dtype=bool)
+        todo[np.arange(n)[:, None], first] = True
+        todo &= bound > 0
+        full, own = np.full((n, m), -1.0), np.flatnonzero(but >= 0)
+        self.searches += n
+        for rest in (~todo, None):
+            self.visited += int(todo.sum())
+            for b in np.flatnonzero(todo.any(axis=0)).tolist():
+                some, part = np.flatnonzero(todo[:, b]), slice(self.edge[b], self.edge[b + 1])
+                full[some, part] = sums[some, part] + heavy[some] @ self.dense[:, part]
+            full[own, but[own]] = -1
+            if rest is not None:
+                place = self.edge[first][:, :, None] + np.arange(np.diff(self.edge).max())
+                seen = np.where(place < self.edge[first + 1][:, :, None],
+                                full[np.arange(n)[:, None, None], np.minimum(place, m - 1)], -1).reshape(n, -1)
+                least = np.maximum(_largest(seen, k) / ABOVE, 0)
+                todo = rest & (bound >= least[:, None]) & (bound > 0)
+        out = []
+        for d in range(n):
+            e = np.flatnonzero(full[d] >= max(least[d], np.finfo(float).tiny))
+            if len(e) > 2 * k:
+                e = e[full[d, e] >= _largest(full[d, e], k) / ABOVE]
+            # once more term by term, so that equal examples have equal sums
+            mine = slice(cut[d], cut[d + 1])
+            own_at, own_w = at[mine][big[mine]], w[mine][big[mine]]
+            s = sums[d, e] + (self.dense[own_at[:, None], e] * own_w[:, None]).sum(axis=0)
+            rank = np.lexsort((self.ids[e], -s))[:k]
+            out.append((e[rank], np.minimum(s[rank], 1.0)))
+        return out
 
     def vote(self, best: np.ndarray, sim: np.ndarray) -> float:
         """Share of toxic ones among the neighbours, by similarity, in -1..1."""
@@ -198,9 +255,8 @@ class Model:
                  prior: float) -> None:
         self.index, self.chosen = index, chosen
         toxic = index.toxic
-        x = []
-        for e, (h, n) in enumerate(zip(sets, counts)):  # each example's left-out votes
-            x.append(self.features(*(self.search(i, h, n, e) if i else None for i in (index, chosen))))
+        # each example's left-out votes
+        x = [self.features(*f) for f in zip(*(self.left_out(i, sets, counts) for i in (index, chosen)))]
         x, y = np.array(x), toxic.astype(float)
         size = np.array([(~toxic).sum(), toxic.sum()], dtype=float)
         cost = np.array([1 - prior, prior]) / np.maximum(size, 1)  # undoes the even draw of the classes
@@ -223,13 +279,16 @@ class Model:
             self.a = self.a - step
 
     @staticmethod
-    def search(index: Index, hashes: np.ndarray, tf: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        k = index.find(hashes)
-        if not (k >= 0).any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        term = k[k >= 0].astype(np.int64)
+    def left_out(index: Index | None, sets: list[np.ndarray], counts: list[np.ndarray]) -> list:
+        """Each example's nearest among the others."""
+        if not index:
+            return [None] * len(sets)
+        k, tf = index.find(np.concatenate(sets)), np.concatenate(counts)
+        cut = np.append(0, np.cumsum(k >= 0))[np.cumsum([0] + [len(h) for h in sets])]
+        term, tf = k[k >= 0].astype(np.int64), tf[k >= 0]
         # an example's own terms are all known to the index of the whole vocabulary
-        return index.nearest(term, index.vector(term, tf[k >= 0]), NEIGHBOURS, but)
+        w = index.vectors(term, tf, cut, np.zeros(len(sets)))
+        return index.nearest_of(term, w, cut, NEIGHBOURS, np.arange(len(sets)))
 
     def features(self, near: tuple, told: tuple | None) -> list[float]:
         told = told or ((), ())
@@ -339,9 +398,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
                     found.append([none] * n)
                     if index:
                         term, tf, cut, strange = index.queries(h, doc, n)
-                        for d, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                            if j > i:
-                                found[-1][d] = index.nearest(term[i:j], index.vector(term[i:j], tf[i:j], strange[d]), NEIGHBOURS)
+                        found[-1] = index.nearest_of(term, index.vectors(term, tf, cut, strange), cut, NEIGHBOURS)
                 near = found[0]
                 out = [model.score(*x) for x in zip(*found)]
             best, sim = np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])

@@ -104,13 +104,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(out) > 60 and np.mean([r.predicted == r.toxic for r in out]) > 0.95
 
 
+def weights(index):
+    """All of an index's weights, as ``w[example, term]``."""
+    w = np.zeros((len(index.ids), len(index.terms)))
+    for t in range(len(index.terms)):
+        at = slice(index.begin[t], index.begin[t + 1])
+        w[index.example[at], t] = index.w[at]
+        if index.heavy[t] >= 0:
+            w[:, t] = index.dense[index.heavy[t]]
+    return w
+
+
+def test_equal_examples_by_id(spark):
+    """Of many equal examples, over several blocks, the smallest ids are the neighbours."""
+    rng = random.Random(8)
+    own = [" ".join(rng.choices([a + b for a in "abcdefgh" for b in "mnopqrst"], k=30)) for _ in range(3)]
+    rows = [(i, own[rng.randrange(3)], int(i % 3 == 0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    for x in own:
+        h, doc = toxicity.term_counts([x.encode()])
+        term, tf, cut, strange = m.queries(h, doc, 1)
+        best, sim = m.nearest(term, m.vectors(term, tf, cut, strange), 15)
+        assert np.allclose(sim, 1) and m.ids[best].tolist() == [i for i, y, _ in rows if y == x][:15]
+
+
 def test_nearest_examples_are_exact(spark):
     docs, labels = toxic_docs(spark)
     m = toxicity.fit(docs, labels, F.lit(True))
-    w = np.zeros((len(m.ids), len(m.terms)))
-    for t in range(len(m.terms)):
-        at = slice(m.begin[t * (m.n_blocks + 1)], m.begin[(t + 1) * (m.n_blocks + 1)])
-        w[m.example[at], t] = m.w[at]
+    w = weights(m)
     rng = np.random.default_rng(3)
     for _ in range(100):
         t = rng.choice(len(m.terms), rng.integers(1, len(m.terms) + 1), replace=False)
@@ -153,10 +175,7 @@ def test_blocks_are_skipped(spark):
     m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
     assert m.n_blocks > 8
     m.searches = m.visited = 0
-    w = np.zeros((len(m.ids), len(m.terms)))
-    for t in range(len(m.terms)):
-        at = slice(m.begin[t * (m.n_blocks + 1)], m.begin[(t + 1) * (m.n_blocks + 1)])
-        w[m.example[at], t] = m.w[at]
+    w = weights(m)
     for e in range(0, len(m.ids), 60):
         term = np.flatnonzero(w[e])
         q = m.vector(term, np.ones(len(term)))
@@ -172,6 +191,7 @@ def test_score_equals_brute_force(spark):
     model = toxicity.learn(docs, labels, ~F.coalesce(toxicity.remainder(4) == 2, F.lit(False)))
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    full = {id(i): weights(i) for i in (model.index, model.chosen)}
 
     def vote(index, data):
         h, _ = toxicity.term_counts([data])
@@ -180,10 +200,7 @@ def test_score_equals_brute_force(spark):
         v = {known[t]: (1 + np.log(n)) * index.idf[known[t]] for t, n in counts.items() if t in known}
         if not v:
             return 0.0, 0.0
-        s = np.zeros(len(index.ids))
-        for t, x in v.items():
-            for p in range(index.begin[t * (index.n_blocks + 1)], index.begin[(t + 1) * (index.n_blocks + 1)]):
-                s[index.example[p]] += x * index.w[p]
+        s = sum(x * full[id(index)][:, t] for t, x in v.items())
         best = np.lexsort((index.ids, -s))[:15]
         best = best[s[best] > 0]
         return float((s[best] * (2.0 * index.toxic[best] - 1)).sum() / s[best].sum()), 1.0
